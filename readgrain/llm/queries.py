@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readgrain.llm import mix
+from readgrain.llm import langid, licences, mix, pii, rules, simhash, tokens
 from readgrain.llm.common import documents
 
 
@@ -16,6 +16,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_token_counts": tokens.op2_token_counts,
+    "op3_personal_data": pii.op3_personal_data,
+    "op5_language_id": langid.op5_language_id,
+    "op6_fingerprints": simhash.op6_fingerprints,
+    "op7_quality_rules": rules.op7_quality_rules,
+    "op9_licences": licences.op9_licences,
 }
 
 ORACLE_SQL: dict[str, str] = {
