@@ -1,7 +1,8 @@
 """Language ID by compression: the language whose dictionary compresses a text best.
 
-Per language, a raw-content zstandard dictionary is cut from a bounded sample of labelled texts. A whole text, lower-cased, goes block
-by block through a compressor per language, and the sizes are summed. The smallest sum wins; narrow margins are marked as not reliable.
+Per language, a raw-content zstandard dictionary is cut from a bounded sample of labelled texts. A whole text, lower-cased and
+without digits and signs, goes block by block through a compressor per language, and the sizes are summed. The smallest sum wins; narrow
+margins are marked as not reliable.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from readgrain.llm.common import documents, map_texts
 
 #: Bounds of the training sample: texts per language, and bytes that each gives to the dictionary.
 SAMPLE_TEXTS, SAMPLE_BYTES = 256, 448
-BLOCK = 4096
-LEVEL = 3
+BLOCK = 1024
+LEVEL = 6
+#: ASCII letters stay, other ASCII bytes become blanks.
+LETTERS = bytes(b if chr(b).isalpha() or b > 127 else 32 for b in range(256))
 #: A prediction whose runner-up is less than this share larger is not reliable.
 MARGIN = 0.01
 #: At most so many languages, the most frequent first, get a dictionary (each takes about 1 MB in a worker).
@@ -41,13 +44,13 @@ def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, size: int = SAMPLE_BYTES)
     chosen = rows.filter(F.col("lang").isin(langs)).select("lang", "doc_id").withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= texts)
     ids = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_r")
     # at most LANGUAGES * texts rows: small enough for any join
-    low = F.lower("text")
+    low = F.regexp_replace(F.lower("text"), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", " ")
     at = F.greatest(F.lit(1), F.floor((F.length(low) - size) / 2).cast("int"))
     got = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).filter(F.col("text").isNotNull())
     parts: dict[str, list] = {}
     for lang, _, _, text in sorted(map(tuple, got.select("_lang", "_r", F.md5("text"), F.substring(low, at, F.lit(size))).distinct().collect())):
         parts.setdefault(lang, []).append(text.encode("utf-8"))
-    return {k: b"\n".join(v[: 2 * texts]) for k, v in sorted(parts.items())}
+    return {k: b"\n".join(parts[k][: 2 * texts]) for k in langs if k in parts}
 
 
 def make_classifier(books: dict[str, bytes], margin: float = MARGIN) -> Callable[[str], tuple]:
@@ -66,7 +69,7 @@ def make_classifier(books: dict[str, bytes], margin: float = MARGIN) -> Callable
     def each(text: str) -> tuple:
         if not langs or not any(map(str.isalpha, text)):
             return "und", 0.0, False
-        raw = text.lower().encode("utf-8")
+        raw = b" ".join(text.lower().encode("utf-8").translate(LETTERS).split())
         sizes = [0] * len(langs)
         for at in range(0, len(raw), BLOCK):
             block = raw[at : at + BLOCK]
@@ -84,8 +87,8 @@ def make_classifier(books: dict[str, bytes], margin: float = MARGIN) -> Callable
 def identify(docs: DataFrame, books: dict[str, bytes], columns: list[str], margin: float = MARGIN) -> DataFrame:
     """`columns` of docs, then lang_pred, score and reliable, a row per row.
 
-    Null texts and texts without a letter are `und` with score 0, as is everything if no language was learned. Ties go to the first
-    language by name. Very long texts are compressed whole, a block at a time. reliable is false where the margin is narrow.
+    Null texts and texts without a letter are `und` with score 0, as is everything if no language was learned. Ties go to the
+    language with most training rows. Very long texts are compressed whole, a block at a time. reliable is false where the margin is narrow.
     """
     sent = docs.sparkSession.sparkContext.broadcast(books)
     return map_texts(docs, lambda: make_classifier(sent.value, margin), "lang_pred string, score double, reliable boolean", columns)

@@ -3,8 +3,8 @@
 Tier 1 is a broadcast table of pre-token -> length. Its entries are those of the vocabulary that are whole pre-tokens: a byte-pair
 vocabulary lists what was frequent when it was trained, so this table is the frequent head, and its size is bounded by the vocabulary.
 Tier 2 is a cache in each worker, bounded in entries: a pre-token outside tier 1 is encoded once by the library and remembered. A
-document's count is the sum over its pre-tokens, so no pre-token is ever shuffled. Texts with a special string (an added token) and texts
-with control characters on which regular-expression engines differ go to the library whole.
+document's count is the sum over its pre-tokens, so no pre-token is ever shuffled. Texts with a special string (an added token), and texts
+with a character on which the library's regular expressions and Python's differ (each character is tried once), go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readgrain.llm.common import Cache, documents, map_texts
+from readgrain.llm.common import documents, map_texts
 
 MAX_TOKENS = 1024
 #: Longer pre-tokens are encoded, not remembered.
@@ -36,6 +36,9 @@ def frequent_lengths(model: str, pattern: str) -> dict[str, int]:
 
 def make_counter(model: str, pattern: str, table: dict[str, int], most: int) -> Callable[[str], int]:
     """A function from a text to its number of tokens."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     import regex
     from tokenizers import Tokenizer
 
@@ -43,41 +46,49 @@ def make_counter(model: str, pattern: str, table: dict[str, int], most: int) ->
     lib.no_truncation()
     lib.no_padding()
     special = [t.content for t in lib.get_added_tokens_decoder().values()]
-    odd = regex.compile(r"[\x1c-\x1f\x85᠎​﻿]|\p{Cn}|\p{Co}")
+    split = lib.pre_tokenizer.pre_tokenize_str
 
     def whole(text: str) -> int:
         return len(lib.encode(text, add_special_tokens=False).ids)
 
-    cache = Cache(whole, most)
+    alike: set[str] = set()  # characters on which the two regular-expression engines agree, and on which they don't
+    other: set[str] = set()
 
-    def length(piece: str) -> int:
-        n = table.get(piece)
-        return n if n is not None else cache[piece] if len(piece) <= LONGEST_KEY else whole(piece)
+    def check(new: set[str]) -> None:
+        for c in new:
+            probe = f"a{c}b {c}{c} 1{c} .{c}\n{c}"
+            (alike if [x[1] for x in split(probe)] == [m.span() for m in pre.finditer(probe)] else other).add(c)
 
     both = dict(table)  # tier 1 and the remembered misses in one dict: one lookup per pre-token
 
+    def length(piece: str) -> int:
+        n = both.get(piece)
+        return whole(piece) if n is None else n
+
     def count(text: str) -> int:
-        if any(s in text for s in special) or (not text.isascii() and odd.search(text)) or (text.isascii() and not text.isprintable() and odd.search(text)):
+        if new := set(text) - alike:
+            check(new - other)
+        if new and not new.isdisjoint(other) or any(s in text for s in special):
             return whole(text)
         if len(text) >= LONG_TEXT:
             return sum(length(m.group()) for m in pre.finditer(text))
         pieces = pre.findall(text)
+        if missed := set(pieces).difference(both):
+            if len(both) > len(table) + most:
+                both.clear()
+                both.update(table)
+                missed = set(pieces).difference(both)
+            missed = [p for p in missed if len(p) <= LONGEST_KEY]
+            both.update(zip(missed, map(len, lib.encode_batch_fast(missed, add_special_tokens=False)), strict=True))
         try:
             return sum(map(both.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(both) > len(table) + most:
-            both.clear()
-            both.update(table)
-        for p in set(pieces).difference(both):
-            if len(p) <= LONGEST_KEY:
-                both[p] = whole(p)
-        return sum(both[p] if p in both else whole(p) for p in pieces)
+        except KeyError:  # pre-tokens too long to be remembered
+            return sum(map(length, pieces))
 
     return count
 
 
-def count_tokens(docs: DataFrame, model_path: str, pattern: str, columns: list[str], max_tokens: int = MAX_TOKENS, most: int = 200_000) -> DataFrame:
+def count_tokens(docs: DataFrame, model_path: str, pattern: str, columns: list[str], max_tokens: int = MAX_TOKENS, most: int = 400_000) -> DataFrame:
     """`columns` of docs, then n_bytes (UTF-8), n_tokens and over_limit, a row per row.
 
     A null text counts as empty: 0 bytes, 0 tokens. Very long texts are counted whole. Repeated rows give repeated results, an empty table
