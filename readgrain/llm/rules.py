@@ -89,10 +89,12 @@ def fences(rows: DataFrame, slack: dict[str, int] = SLACK, least: int = LEAST_GR
     per = per.withColumn("fence", F.col("q3") + F.greatest(3 * (F.col("q3") - F.col("q1")), room))
     wide = per.groupBy("g", "lang", "source").agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("m") == i, F.col("fence"))).alias(n) for i, n in enumerate(names)])
     wide = materialise(wide, "rules-fences")
-    own, lang, every = (wide.filter(F.col("g") == g).drop("g") for g in (0, 1, 3))
+    own, lang = (wide.filter(F.col("g") == g).drop("g") for g in (0, 1))
     lang = lang.select(F.col("lang").alias("l"), F.col("rows").alias("l_rows"), *[F.col(n).alias(f"l_{n}") for n in names])
-    every = every.select(F.lit(0).alias("k"), *[F.col(n).alias(f"a_{n}") for n in names])
-    both = own.join(lang, F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("k", F.lit(0)).join(every, "k", "left")
+    every = wide.filter(F.col("g") == 3).select(F.col("g").alias("a"), *[F.col(n).alias(f"a_{n}") for n in names])
+    both = own.join(lang, F.col("lang").eqNullSafe(F.col("l")), "left")
+    needs = F.when(F.col("rows") >= least, 0).when(F.col("l_rows") >= least, 1).otherwise(3)
+    both = both.withColumn("k", needs.cast("long")).join(every, F.col("k") == F.col("a"), "left")
     pick = lambda n: F.when(F.col("rows") >= least, F.col(n)).when(F.col("l_rows") >= least, F.col(f"l_{n}")).otherwise(F.col(f"a_{n}"))
     return both.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[pick(n).alias(f"max_{n}") for n in names])
 
