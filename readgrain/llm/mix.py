@@ -22,7 +22,7 @@ def mix_key(doc_id: Column, text: Column) -> Column:
     return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
 
 
-def sized(docs: DataFrame, share: float = 1.0) -> DataFrame:
+def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), mix_key(F.col("doc_id"), F.col("text")).alias("key"))
 
 
@@ -76,10 +76,11 @@ def cuts(rows: DataFrame, cycle: tuple[int, ...] = CYCLE, share: float = 1.0, ca
     return materialise(per.join(cut, "sidx", "left").select("source", "source_size", "target", "epochs", "cut_key", "cut_words", "cut_rows"), "mix-cuts")
 
 
-def _extra(key: Column, size: Column) -> Column:
-    """Words of a row beyond the whole epochs."""
-    part = F.floor(F.col("cut_words") / F.greatest(F.col("cut_rows"), F.lit(1)))
-    return F.when(key < F.col("cut_key"), size).when(key == F.col("cut_key"), F.least(part, size)).otherwise(F.lit(0)).cast("long")
+def _extra(key: Column, size: Column, of: str = "") -> Column:
+    """Words of a row beyond the whole epochs; of: what stands before the names of a source's columns."""
+    at, words, rows = (F.col(of + c) for c in ("cut_key", "cut_words", "cut_rows"))
+    part = F.floor(words / F.greatest(rows, F.lit(1)))
+    return F.when(key < at, size).when(key == at, F.least(part, size)).otherwise(F.lit(0)).cast("long")
 
 
 def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, share: float = 1.0, cap: int = CAP) -> DataFrame:
@@ -97,13 +98,16 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, share: float = 1.0, cap
 def mix_documents(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, share: float = 1.0, cap: int = CAP) -> DataFrame:
     """The mix itself: whole rows of docs, each as often as the mix takes it; the row at the cut is taken if at least half of it is within the budget."""
     rows = materialise(sized(docs), "mix-sizes")
-    per = cuts(rows, cycle, share, cap).select(F.col("source").alias("_s"), "epochs", "cut_key", "cut_words", "cut_rows")
-    wide = docs.withColumns({"_key": mix_key(F.col("doc_id"), F.col("text")), "_size": count_words(F.col("text"))}).join(per, F.col("source").eqNullSafe(F.col("_s")))
-    once = F.when(_extra(F.col("_key"), F.col("_size")) * 2 >= F.greatest(F.col("_size"), F.lit(1)), 1).otherwise(0)
-    times = (F.col("epochs") + once).cast("int")
+    own = "__rg_"  # before all names that are added to those of docs
+    per = cuts(rows, cycle, share, cap)
+    per = per.select(*[F.col(c).alias(own + c) for c in per.columns])
+    key, size = F.col(own + "key"), F.col(own + "size")
+    wide = docs.withColumns({own + "key": mix_key(F.col("doc_id"), F.col("text")), own + "size": count_words(F.col("text"))}).join(per, F.col("source").eqNullSafe(F.col(own + "source")))
+    once = F.when(_extra(key, size, own) * 2 >= F.greatest(size, F.lit(1)), 1).otherwise(0)
     # a row without words costs nothing: it is taken like its source's rows before the cut
-    times = F.when(F.col("_size") == 0, F.col("epochs") + F.when(F.coalesce(F.col("_key") < F.col("cut_key"), F.lit(False)), 1).otherwise(0)).otherwise(times).cast("int")
-    return wide.withColumn("_n", times).filter("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    once = F.when(size == 0, F.when(F.coalesce(key < F.col(own + "cut_key"), F.lit(False)), 1).otherwise(0)).otherwise(once)
+    wide = wide.withColumn(own + "n", (F.col(own + "epochs") + once).cast("int")).filter(F.col(own + "n") > 0)
+    return wide.withColumn(own + "i", F.explode(F.sequence(F.lit(1), F.col(own + "n")))).select(*docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -79,6 +79,7 @@ TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]|\s")
 NUMBERS = re.compile(r"[+(]?[0-9][0-9 ().\-\[\]/]{5,}[0-9]")
 MARKED = re.compile(r"[A-Za-z0-9._%+-]{1,40} ?(?:@|\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,40}(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9-]{1,40}){1,6}", re.I)
 HINT = re.compile(r"\(at\)|\[at\]|\{at\}| dot |\(dot\)|\[dot\]|\{dot\}|@ | @", re.I)
+TOP = re.compile(r"(?:com|org|net|edu|gov|info|io|eu|uk|de|fr|es|it|nl)$", re.I)
 CUES = {0: ("mail", "contact", "write"), 1: ("ip", "host", "server", "address"), 2: ("card", "visa", "credit", "payment"), 3: ("tel", "phone", "call", "mobile", "fax", "ring")}
 
 
@@ -117,7 +118,7 @@ def features(kind: int, text: str, a: int, b: int) -> list[str]:
     out.append(f"{k} cue {any(c in before for c in CUES[kind])}")
     out.append(f"{k} any cue {any(c in before for i in CUES for c in CUES[i] if i != kind)}")
     if kind == 0:
-        out += [f"{k} marker {bool(re.search(r'[(@\[{]', span))}", f"{k} dot {bool(re.search(r'dot', span, re.I))}"]
+        out += [f"{k} marker {bool(re.search(r'[(@\[{]', span))}", f"{k} dot {bool(re.search(r'dot', span, re.I))}", f"{k} domain {bool(TOP.search(span))}", f"{k} cut {a > 0 and text[a - 1] in '._%+-'}"]
     if kind == 2:
         out.append(f"{k} luhn {luhn(digits)}")
     if kind == 3:
@@ -176,7 +177,7 @@ def examples(seed: int = 7, n: int = 900) -> list[tuple[str, list[tuple[int, int
         elif kind == 3:
             span = r.choice((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{r.randrange(1, 99)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(6)}", f"1-{d(3)}-{d(3)}-{d(4)}", f"0{d(2)} {d(3)} {d(2)} {d(2)}", f"00{d(2)} {d(3)} {d(3)} {d(3)}"))
         else:
-            span = r.choice((f"20{d(2)}-{r.randrange(10, 13)}-{r.randrange(10, 29)}", f"{r.randrange(10, 29)}.{r.randrange(10, 13)}.20{d(2)}", f"{d(1)}.{d(1)}.{d(1)}", f"{d(8)}", f"{d(10)}", f"{d(16)}", f"{d(12)}", f"{d(2)} {d(2)} {d(2)} {d(2)}", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(3)}.{d(3)}.{d(3)}", f"{word()} at {word()} dot", f"{d(4)} {d(4)} {d(4)}", f"{d(4)} - {d(4)}", f"({d(4)}) {d(4)}", f"{d(3)} {d(3)} {d(3)} {d(3)} {d(3)}", f"{d(7)}", f"{d(3)} {d(4)}", f"{d(5)}/{d(5)}", f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{d(6)} {d(6)}", f"{d(1)} {d(2)} {d(3)} {d(1)} {d(2)}"))
+            span = r.choice((f"20{d(2)}-{r.randrange(10, 13)}-{r.randrange(10, 29)}", f"{r.randrange(10, 29)}.{r.randrange(10, 13)}.20{d(2)}", f"{d(1)}.{d(1)}.{d(1)}", f"{d(8)}", f"{d(10)}", f"{d(16)}", f"{d(12)}", f"{d(2)} {d(2)} {d(2)} {d(2)}", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(3)}.{d(3)}.{d(3)}", f"{word()} at {word()} dot", f"{word()} at {word()} dot {word()}", f"{word()} at {word()} dot {word()}", f"{d(4)} {d(4)} {d(4)}", f"{d(4)} - {d(4)}", f"({d(4)}) {d(4)}", f"{d(3)} {d(3)} {d(3)} {d(3)} {d(3)}", f"{d(7)}", f"{d(3)} {d(4)}", f"{d(5)}/{d(5)}", f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{d(6)} {d(6)}", f"{d(1)} {d(2)} {d(3)} {d(1)} {d(2)}"))
         head = f"{word()} {cue} "
         text = head + span + r.choice((".", " ", ", ")) + word()
         if kind == 2 and not luhn(NOT_DIGIT.sub("", span)):

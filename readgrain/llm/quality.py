@@ -151,15 +151,15 @@ def score_of(model: dict, content, metadata):  # noqa: ANN001, ANN201
     return 1 / (1 + np.exp(-model["last"].odds(both)))
 
 
-def scored(docs: DataFrame, labels: DataFrame, columns: list[str], labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
-    """`columns` of docs and a last column score: the probability that a document is of good quality, a row per row.
+def scored(docs: DataFrame, labels: DataFrame, columns: list[str], labelled: int = LABELLED, pool: int = POOL, out: str = "score") -> DataFrame:
+    """`columns` of docs and a last column (out): the probability that a document is of good quality, a row per row.
 
     Null texts are scored as empty ones. Without labels of both classes every score is 1. Texts are read whole.
     """
     model = cotrain(sample(docs, labels, labelled, pool).collect())
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*columns)
-    schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*kept.schema.fields, StructField(out, DoubleType())])
     n = len(columns)
 
     def run(batches: Iterator) -> Iterator:
@@ -177,7 +177,7 @@ def scored(docs: DataFrame, labels: DataFrame, columns: list[str], labelled: int
                     s = score_of(sent.value, np.array([g[0] for g in got]), np.array([g[1] for g in got]))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(s)], schema.names)
 
-    return docs.select(*columns, F.col("text").alias("_t"), F.col("lang").alias("_l"), F.col("source").alias("_s")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col("text").alias("__rg_t"), F.col("lang").alias("__rg_l"), F.col("source").alias("__rg_s")).mapInArrow(run, schema)
 
 
 def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +186,8 @@ def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, cut: float = CUT) -> DataFrame:
     """docs without those that the classifier rejects."""
-    return scored(docs, read_labels(spark, sf_dir), docs.columns).filter(F.col("score") >= cut).drop("score")
+    out = "__rg_score"
+    return scored(docs, read_labels(spark, sf_dir), docs.columns, out=out).filter(F.col(out) >= cut).drop(out)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
