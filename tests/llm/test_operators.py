@@ -103,7 +103,7 @@ def test_personal_data_base():
 def test_personal_data_field(spark, odd, empty):
     w = pii.train()
     found = lambda t: pii.say(pii.find(t, w)[1])
-    assert found("call (017) 555-7713 now") == "phone:5:19"[:0] + "phone:6:19" or found("call (017) 555-7713 now") == "phone:5:19"
+    assert found("call (017) 555-7713 now") in ("phone:5:19", "phone:6:19")  # with or without the opening bracket
     assert found("mail joe at example dot com") and found("ip 97[.]51[.]17[.]173 ok") == "ip:3:21"
     for clean in ("on 2021-11-12", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "see pages 12 34 56 78", "1234567890123456", "no data at all dot", "978-3-1614-8410-0"):
         assert found(clean) == "", clean
@@ -261,8 +261,10 @@ def test_quality(spark, odd, empty):
     held = [(other[i]["score"] >= quality.CUT) == (q > 0) for i, q in known.items() if i % 2 and i in other]
     assert sum(held) >= 0.95 * len(held)
     none = spark.createDataFrame([], "doc_id long, quality int")
-    assert {r["score"] for r in quality.scored(odd.drop("score"), none, ["doc_id"]).collect()} == {1.0}
+    assert {r["score"] for r in quality.scored(odd, none, ["doc_id"]).collect()} == {1.0}
     assert quality.scored(empty, none, ["doc_id"]).count() == 0
+    kept = quality.good_documents(spark, odd, "/root/testdata/sf0.001")
+    assert kept.columns == odd.columns and 0 < kept.count() <= len(odd_rows())
 
 
 def test_licences(spark, odd, empty):
