@@ -40,17 +40,17 @@ def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, size: int = SAMPLE_BYTES)
     langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     if not langs:
         return {}
-    by = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    chosen = rows.filter(F.col("lang").isin(langs)).select("lang", "doc_id").withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= texts)
-    ids = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_r")
-    # at most LANGUAGES * texts rows: small enough for any join
+    first = lambda rows, lang, *order: rows.withColumn("_r", F.row_number().over(Window.partitionBy(lang).orderBy(*order))).filter(F.col("_r") <= texts).drop("_r")
+    ids = first(rows.filter(F.col("lang").isin(langs)).select("lang", "doc_id"), "lang", F.md5(F.col("doc_id").cast("string")), "doc_id").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     low = F.regexp_replace(F.lower("text"), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", " ")
     at = F.greatest(F.lit(1), F.floor((F.length(low) - size) / 2).cast("int"))
-    got = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).filter(F.col("text").isNotNull())
+    # at most LANGUAGES * texts ids; an id that many rows have gives its first `texts` rows again
+    got = rows.filter(F.col("text").isNotNull()).join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    got = first(got.select("_lang", F.md5(F.col("_id").cast("string")).alias("a"), F.md5("text").alias("b"), F.substring(low, at, F.lit(size)).alias("part")), "_lang", "a", "b")
     parts: dict[str, list] = {}
-    for lang, _, _, text in sorted(map(tuple, got.select("_lang", "_r", F.md5("text"), F.substring(low, at, F.lit(size))).distinct().collect())):
+    for lang, _, _, text in sorted(map(tuple, got.collect())):
         parts.setdefault(lang, []).append(text.encode("utf-8"))
-    return {k: b"\n".join(parts[k][: 2 * texts]) for k in langs if k in parts}
+    return {k: b"\n".join(parts[k]) for k in langs if k in parts}
 
 
 def make_classifier(books: dict[str, bytes], margin: float = MARGIN) -> Callable[[str], tuple]:

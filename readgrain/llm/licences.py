@@ -3,7 +3,7 @@
 All rolling K-word hashes of all texts are joined to the positions of the same hashes in licence templates (a fixed table, some thousand
 rows, so it is broadcast). A match votes for its diagonal, document position minus template position. Votes are summed per document,
 template and diagonal; neighbouring diagonals (words added or left out) are merged; and a merged span is verified: it must hold enough of
-the template's positions, densely. Hashes are compared on 128 bits. Exact phrases are counted beside this, as the base labels.
+the template's positions, densely. Grams agree in their hash and in the 64-bit hash of each word. Exact phrases are counted beside this, as the base labels.
 """
 
 from __future__ import annotations
@@ -41,50 +41,59 @@ TEMPLATES = (
     ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
 )
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
 def spaced(text: Column) -> Column:
-    """The words of a text, lower-cased in ASCII, with one blank between."""
-    low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.btrim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
+    """The words of a text, in lower case, with one blank between.
 
+    Words hold all characters beyond ASCII, so their lower case changes neither the words' number nor, as no phrase has a k (the one ASCII
+    letter that has a capital beyond ASCII that isn't written as two), where a phrase stands.
+    """
+    return F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
 
-def grams(words: Column) -> Column:
-    """Positions and 64-bit hashes of all rolling K-grams."""
-    at = lambda i, j: F.get(words, i + j)
-    return F.transform(F.sequence(F.lit(0), F.size(words) - K), lambda i: F.struct(i.alias("p"), F.xxhash64(*[at(i, j) for j in range(K)]).alias("h"), F.hash(*[at(i, j) for j in range(K)]).alias("g")))
+
+def neighbours(norm: Column) -> Column:
+    """An array of each word with the K - 1 words after it (null beyond the end)."""
+    w = F.split(norm, " ")
+    return F.arrays_zip(w.alias("w0"), *[F.slice(w, j + 1, F.greatest(F.size(w) - j, F.lit(0))).alias(f"w{j}") for j in range(1, K)])
 
 
 def exploded(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.withColumn("w", F.split("norm", " ")).filter(F.size("w") >= K).select(*keys, F.explode(grams(F.col("w"))).alias("x")).select(*keys, "x.p", "x.h", "x.g")
+    """All rolling K-grams: position, hash, and the hashes of the words (g0 ...).
+
+    Words are hashed in the array; what is exploded are numbers, and the rest is generated code. An outer explosion keeps the optimizer
+    from testing the array's size by computing it once more.
+    """
+    x = rows.select(*keys, F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("g0"))
+    x = x.select(*keys, F.arrays_zip("g0", *[F.slice("g0", j + 1, F.greatest(F.size("g0") - j, F.lit(0))).alias(f"g{j}") for j in range(1, K)]).alias("z"))
+    x = x.select(*keys, F.posexplode_outer("z").alias("p", "x")).select(*keys, "p", "x.*").filter(F.col(f"g{K - 1}").isNotNull())
+    return x.withColumn("h", F.xxhash64(*[f"g{j}" for j in range(K)]))
 
 
-def starts(norm: Column, phrase: str) -> Column:
-    """Word positions at which a phrase stands; the words are only split where it does."""
+def starts(z: Column, phrase: str) -> Column:
+    """Positions in neighbours() at which a phrase stands."""
     own = phrase.split(" ")
-    w = F.split(norm, " ")
-    hit = lambda i: [F.get(w, i + j) == F.lit(x) for j, x in enumerate(own)]
 
-    def both(i: Column) -> Column:
-        out = hit(i)[0]
-        for x in hit(i)[1:]:
-            out = out & x
-        return out
+    def at(x: Column, i: Column) -> Column:
+        same = x["w0"] == own[0]
+        for j, word in enumerate(own[1:], 1):
+            same = same & F.coalesce(x[f"w{j}"] == word, F.lit(False))
+        return F.when(same, i)
 
-    none = F.array().cast("array<int>")
-    return F.when(F.concat(F.lit(" "), norm, F.lit(" ")).contains(f" {phrase} "), F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - len(own), F.lit(0))), both)).otherwise(none)
+    return F.array_compact(F.transform(z, at))
 
 
 def votes(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """Verified spans: key, label, first and last word, cover (share of the template found)."""
     spark = docs.sparkSession
     table = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string").select("template", "label", spaced(F.col("text")).alias("norm"))
-    places = exploded(table, ["template", "label"]).select("template", "label", F.col("p").alias("tp"), F.col("h").alias("th"), F.col("g").alias("tg"))
+    g = [f"g{j}" for j in range(K)]
+    places = exploded(table, ["template", "label"]).select("template", "label", F.col("p").alias("tp"), F.col("h").alias("th"), *[F.col(x).alias(f"t{x}") for x in g])
     size = places.groupBy("template").agg(F.count("*").alias("grams"))
     places = F.broadcast(places.join(F.broadcast(size), "template"))  # fixed size: the templates' words
     rows = docs.select(key(), spaced(F.col("text")).alias("norm"))
-    met = exploded(rows, ["key"]).join(places, (F.col("h") == F.col("th")) & (F.col("g") == F.col("tg"))).select("key", "template", "label", "grams", "p", "tp").distinct()
+    met = exploded(rows, ["key"]).join(places, F.col("h") == F.col("th"))
+    for x in g:  # compared where hashes agree
+        met = met.filter(F.col(x).bitwiseXOR(F.col(f"t{x}")) == 0)
+    met = met.select("key", "template", "label", "grams", "p", "tp").distinct()
     lines = met.groupBy("key", "template", "label", "grams", (F.col("p") - F.col("tp")).alias("diagonal")).agg(F.count("*").alias("n"), F.min("p").alias("first"), F.max("p").alias("last"))
     by = Window.partitionBy("key", "template").orderBy("diagonal")
     fresh = F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= GAP, 0).otherwise(1)
@@ -106,7 +115,10 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) ->
     """
     rows = docs.select("doc_id", key(), spaced(F.col("text")).alias("norm"))
     n = F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).cast("long")
-    rows = rows.select("doc_id", "key", n.alias("n_words"), *[starts(F.col("norm"), p).alias(f"s{i}") for i, (p, _) in enumerate(PHRASES)])
+    none = F.array().cast("array<int>")
+    stands = lambda p: F.concat(F.lit(" "), F.col("norm"), F.lit(" ")).contains(f" {p} ")
+    # words are split only where a phrase stands
+    rows = rows.select("doc_id", "key", n.alias("n_words"), *[F.when(stands(p), starts(neighbours(F.col("norm")), p)).otherwise(none).alias(f"s{i}") for i, (p, _) in enumerate(PHRASES)])
     every = F.concat(*[F.col(f"s{i}") for i in range(len(PHRASES))])
     own = F.array(*[F.when(F.size(f"s{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)])
     rows = rows.select("doc_id", "key", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.array_sort(F.array_distinct(F.array_compact(own))).alias("own"))

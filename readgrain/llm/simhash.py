@@ -88,6 +88,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     whole = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select(F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.min("bucket").over(whole)).alias("to"), F.col("top.i").alias("i"), F.bitwise_not("top.h").alias("th"))
     heads = materialise(heads, "simhash-heads")
+    # about 4 sqrt(rows) + CELLS heads of 40 bytes; beyond two million the join is left to the planner
+    heads = F.broadcast(heads) if heads.count() <= 2_000_000 else heads
     found = rows.join(heads, (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("i")) & (F.col("h") == F.col("th"))).dropDuplicates(["to"])
     ends = found.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", F.col("to").alias("bucket"), F.lit(0).cast("long").alias("h"), F.lit(1).alias("tail"))
     by = Window.partitionBy("bucket").orderBy("tail", F.col("doc_id").desc_nulls_last(), "h")
