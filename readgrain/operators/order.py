@@ -35,7 +35,8 @@ def _cell(values: DataFrame, value: str) -> Column:
         steps.append((float(b) - float(a)) / n or 1.0)
         at.append(first)
         first += n + 1
-    pick = lambda xs, kind: F.element_at(F.lit(xs).cast(f"array<{kind}>"), part + 1)
+    # one literal, folded to an array before anything runs
+    pick = lambda xs, kind: F.element_at(F.split(F.lit(",".join(map(repr, xs))), ",").cast(f"array<{kind}>"), part + 1)
     return pick(at, "bigint") + F.floor((v - pick(starts, "double")) / pick(steps, "double")).cast("long")
 
 
