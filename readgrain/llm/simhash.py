@@ -70,7 +70,8 @@ def buckets(docs: DataFrame) -> Column:
         widths.append(-(-(b - a + 1) // parts))
         at.append(first)
         first += parts
-    pick = lambda xs: F.element_at(F.lit(xs).cast("array<bigint>"), cell + 1)
+    # one literal, folded to an array before anything runs
+    pick = lambda xs: F.element_at(F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>"), cell + 1)
     return F.coalesce(pick(at) + F.floor((F.col("doc_id") - pick(starts)) / pick(widths)).cast("long"), F.lit(-1).cast("long"))
 
 
