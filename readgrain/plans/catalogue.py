@@ -654,7 +654,8 @@ def logistic_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.col("quality").alias("y"), F.col("n_chars").cast("double").alias("n_chars"), F.length(F.regexp_replace("text", "[^.]+", "")).cast("double").alias("n_stops"))
+    counts = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), F.length(F.regexp_replace("text", "[^.]+", "")).cast("double").alias("n_stops"))  # before the join: no text is shuffled
+    d = counts.join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.col("quality").alias("y"), *METRICS)
     return learn.bootstrap_select(d, "y", METRICS, "doc_id")
 
 
