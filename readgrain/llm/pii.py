@@ -268,19 +268,21 @@ def find(text: str, w: dict[str, float]) -> tuple[list, list]:
     """The base spans, and all spans: the field's too where they overlap no base span."""
     base = base_spans(text)
     taken = sorted((a, b) for a, _, b in base)
-    more, at, until = [], 0, 0  # regions and base spans both ascend
+    more, at, until = [], 0, 0  # regions and base spans both ascend; until is where the base spans so far end
     for a, b in regions(text):
-        while at < len(taken) and taken[at][0] < b:
+        while at < len(taken) and taken[at][0] <= a:
             until = max(until, taken[at][1])
             at += 1
-        near = [x for x in taken[max(0, at - 64) : at + 1] if x[0] < b and x[1] > a] if until > a else []
-        cut, rest = a, []
-        for x, y in near:
-            rest.append((cut, x))
+        cut = max(a, until)
+        while at < len(taken) and taken[at][0] < b:
+            x, y = taken[at]
+            if x - cut >= 7:
+                more += decode(text, cut, x, w)
             cut = max(cut, y)
-        for x, y in [*rest, (cut, b)]:
-            if y - x >= 7:
-                more += decode(text, x, y, w)
+            at += 1
+        if b - cut >= 7:
+            more += decode(text, cut, b, w)
+        until = max(until, cut)
     return base, sorted([*base, *more])
 
 

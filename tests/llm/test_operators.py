@@ -118,6 +118,26 @@ def test_personal_data_field(spark, odd, empty):
     assert [(r["text"], r["n_chars"]) for r in pii.redacted(df).orderBy("doc_id").collect()] == [("a [EMAIL] d", 11), (None, None), ("clean", 5)]
 
 
+def test_personal_data_many_spans():
+    """In one long region, and behind a base span over many others, the field adds no span over a base span."""
+    w = pii.train()
+    listed = " ".join(f"10.{i // 200}.{i % 200}.17" for i in range(300))
+    mixed = " ".join(f"4111 1111 1111 1111 / 10.0.{i}.23 (017) 555-7713" for i in range(150))
+    for text in (listed, mixed, "_".join(f"10.11.12.{i}" for i in range(200)) + "@a.bc tel 555-123-4567"):
+        base, every = pii.find(text, w)
+        taken = {i for a, _, b in base for i in range(a, b)}
+        more = list(every)
+        for x in base:
+            more.remove(x)
+        assert len(base) >= 65 and not any(taken & set(range(a, b)) for a, _, b in more)
+        # the same as the field over what no base span holds
+        want = []
+        for a, b in pii.regions(text):
+            free = "".join("x" if i in taken else " " for i in range(a, b))
+            want += [y for m in re.finditer(" {7,}", free) for y in pii.decode(text, a + m.start(), a + m.end(), w)]
+        assert more == want
+
+
 def brute_classes(rows):
     """doc index -> class (smallest id), links, by comparing all texts."""
     texts = collections.defaultdict(list)
