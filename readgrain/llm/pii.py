@@ -78,7 +78,8 @@ TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]|\s")
 #: Where a span without a base pattern may stand: runs of digits and their separators, and words around "at" ... "dot".
 NUMBERS = re.compile(r"[+(]?[0-9][0-9 ().\-\[\]/]{5,}[0-9]")
 MARKED = re.compile(r"[A-Za-z0-9._%+-]{1,40} ?(?:@|\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,40}(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9-]{1,40}){1,6}", re.I)
-HINT = re.compile(r"\(at\)|\[at\]|\{at\}| dot |\(dot\)|\[dot\]|\{dot\}|@ | @", re.I)
+#: What any match of MARKED holds, unless a base span holds its @: a marker other than @, or blanks beside @ or the first dot. Of each only the first sign is taken, as they can overlap.
+HINT = re.compile(r"\((?=at\)|dot\))|\[(?=at\]|dot\])|\{(?=at\}|dot\})|@(?= |[A-Za-z0-9-]{1,40}(?: \.|\. ))| (?=@|dot |at  ?[A-Za-z0-9-]{1,40} ?\.)", re.I)
 TOP = re.compile(r"(?:com|org|net|edu|gov|info|io|eu|uk|de|fr|es|it|nl)$", re.I)
 CUES = {0: ("mail", "contact", "write"), 1: ("ip", "host", "server", "address"), 2: ("card", "visa", "credit", "payment"), 3: ("tel", "phone", "call", "mobile", "fax", "ring")}
 
@@ -118,7 +119,7 @@ def features(kind: int, text: str, a: int, b: int) -> list[str]:
     out.append(f"{k} cue {any(c in before for c in CUES[kind])}")
     out.append(f"{k} any cue {any(c in before for i in CUES for c in CUES[i] if i != kind)}")
     if kind == 0:
-        out += [f"{k} marker {bool(re.search(r'[(@\[{]', span))}", f"{k} dot {bool(re.search(r'dot', span, re.I))}", f"{k} domain {bool(TOP.search(span))}", f"{k} cut {a > 0 and text[a - 1] in '._%+-'}"]
+        out += [f"{k} marker {bool(re.search(r'[(@\[{]', span))}", f"{k} dot {bool(re.search(r'dot', span, re.I))}", f"{k} domain {bool(TOP.search(span))}", f"{k} cut {a > 0 and text[a - 1] in '._%+-'}", f"{k} sentence {'. ' in span}", f"{k} plain {' at ' in span and '.' in span} {out[4]}"]
     if kind == 2:
         out.append(f"{k} luhn {luhn(digits)}")
     if kind == 3:
@@ -185,6 +186,15 @@ def examples(seed: int = 7, n: int = 900) -> list[tuple[str, list[tuple[int, int
         if kind is None and luhn(NOT_DIGIT.sub("", span)) and 12 <= len(NOT_DIGIT.sub("", span)) <= 19:
             continue
         out.append((text, [] if kind is None else [(len(head), kind, len(head) + len(span))]))
+    for _ in range(n // 5):  # a word or sign for "at" beside a plain dot, and sentences that end or meet there
+        a, b, c, mark = word(), word(), word(), r.choice((" at ", " at ", "@"))
+        good = r.random() < 0.5
+        dot = (" ." if mark == "@" else r.choice((".", ".", " ."))) if good else r.choice((". ", ". ", " . ") if mark == "@" else (". ", ". ", "."))
+        span = a + mark + b + dot + (r.choice(("com", "org", "net", "de", "fr")) if good else r.choice((c, c.title(), "It", "it", "De", "Es") if " " in dot else (c, c.title())))
+        cued = r.random() < 0.5 if good and mark == " at " else True
+        head = f"{word()} {r.choice(PLACES[4:7] if good and cued else ('the', 'from', 'and', 'see') if good else PLACES)} "
+        good &= cued  # "read at example.com" is a place, "mail jane at example.com" is not
+        out.append((head + span + r.choice((".", " ", ", ")) + word(), [(len(head), 0, len(head) + len(span))] if good else []))
     return out
 
 

@@ -138,6 +138,19 @@ def test_personal_data_many_spans():
         assert more == want
 
 
+def test_personal_data_plain_dots():
+    """Every address in words is in a region or over a base span; the field takes those of plain dots, not sentences."""
+    r = random.Random(6)
+    for _ in range(20000):
+        t = "".join(r.choice(("ab", "c", " at ", "@", "(at)", " ", ".", ".", " dot ", "[dot]")) for _ in range(r.randrange(3, 10)))
+        held = [*pii.regions(t), *((a, b) for a, _, b in pii.base_spans(t))]
+        for m in pii.MARKED.finditer(t):
+            assert any(a < m.end() and m.start() < b for a, b in held), t
+    w = pii.train()
+    for text, want in (("write to jane at example.com now", "email:9:28"), ("mail bob at tuxedo.org, or", "email:5:22"), ("we met at home. Then it rained", ""), ("he looked at him.Then he left", ""), ("look at this. It works", ""), ("read at example.org today", ""), ("see jane@example. Then go", "")):
+        assert pii.say(pii.find(text, w)[1]) == want, text
+
+
 def brute_classes(rows):
     """doc index -> class (smallest id), links, by comparing all texts."""
     texts = collections.defaultdict(list)
