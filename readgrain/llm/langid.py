@@ -22,7 +22,7 @@ LEVEL = 6
 LETTERS = bytes(b if chr(b).isalpha() or b > 127 else 32 for b in range(256))
 #: A prediction whose runner-up is less than this share larger is not reliable.
 MARGIN = 0.01
-#: At most so many languages, the most frequent first, get a dictionary (each takes about 1 MB in a worker).
+#: Up to so many languages have dictionaries of full size (each takes about 1 MB in a worker); more share the same number of texts.
 LANGUAGES = 200
 
 
@@ -34,17 +34,19 @@ def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, size: int = SAMPLE_BYTES)
     """The dictionaries: per language, slices of the `texts` training texts of the smallest hash, the middle `size` bytes of each.
 
     The ranking reads doc_id and lang only and keeps `texts` rows per language and partition before any shuffle; then the chosen texts
-    are fetched and cut on the executors. What reaches the driver is bounded by LANGUAGES * texts * size bytes.
+    are fetched and cut on the executors. Every language that training rows have is learned. What reaches the driver is bounded by LANGUAGES * texts * size bytes, or by one
+    text a language if there are more languages than that has texts.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 0))
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     if not langs:
         return {}
+    texts = max(1, min(texts, LANGUAGES * texts // len(langs)))
     first = lambda rows, lang, *order: rows.withColumn("_r", F.row_number().over(Window.partitionBy(lang).orderBy(*order))).filter(F.col("_r") <= texts).drop("_r")
-    ids = first(rows.filter(F.col("lang").isin(langs)).select("lang", "doc_id"), "lang", F.md5(F.col("doc_id").cast("string")), "doc_id").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    ids = first(rows.select("lang", "doc_id"), "lang", F.md5(F.col("doc_id").cast("string")), "doc_id").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     low = F.regexp_replace(F.lower("text"), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", " ")
     at = F.greatest(F.lit(1), F.floor((F.length(low) - size) / 2).cast("int"))
-    # at most LANGUAGES * texts ids; an id that many rows have gives its first `texts` rows again
+    # at most LANGUAGES * SAMPLE_TEXTS ids, or one a language; an id that many rows have gives its first `texts` rows again
     got = rows.filter(F.col("text").isNotNull()).join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
     got = first(got.select("_lang", F.md5(F.col("_id").cast("string")).alias("a"), F.md5("text").alias("b"), F.substring(low, at, F.lit(size)).alias("part")), "_lang", "a", "b")
     parts: dict[str, list] = {}

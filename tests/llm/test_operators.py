@@ -234,6 +234,18 @@ def test_language(spark, odd, empty):
     assert zlib.crc32(b"7") % 5 == spark.range(7, 8).select(langid.remainder(F.col("id"))).first()[0]
 
 
+def test_many_languages(spark):
+    r = random.Random(2)
+    rows = []
+    for k in range(langid.LANGUAGES + 10):
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)]
+        rows += [(1000 * k + i, " ".join(r.choice(words) for _ in range(60)), f"l{k:03d}") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    books = langid.learn(docs)
+    assert set(books) == {x[2] for x in rows}
+    assert all(x["lang"] == x["lang_pred"] for x in langid.identify(docs, books, ["lang"]).collect())
+
+
 def test_fingerprints(spark, odd, empty):
     rows = simhash.fingerprints(odd).collect()
     assert len(rows) == len(odd_rows()) and simhash.fingerprints(empty).count() == 0
