@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset (tests on one machine)."""
+    """spark.checkpoint.dir. Where that is unset, a temporary folder if driver and executors are one process; on a cluster an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="readgrain-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -21,4 +24,18 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """df, computed once: what follows reads the written table, whatever executors are lost, and knows its size."""
     at = f"{shared_dir(df.sparkSession)}/readgrain/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.readgrain_at = at
+    return out
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    """Deletes a folder of the shared file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what materialise() wrote for these tables; for tables that nothing reads again, not even lazily."""
+    for df in tables:
+        remove(df.sparkSession, df.readgrain_at)
