@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from readgrain.storage import materialise, shared_dir  # noqa: F401
+from readgrain.storage import forget, materialise, remove, shared_dir  # noqa: F401
 
 #: A word of the contracts is a run of anything else than these ASCII blanks, which are those of bytes.split().
 BLANK = r"\x20\x09-\x0D"
@@ -27,11 +27,26 @@ def count_words(text: Column) -> Column:
     return F.when(full.rlike(f"[^{BLANK}]"), F.length(short)).otherwise(0).cast("long")
 
 
-def map_texts(df: DataFrame, fn: Callable[[], Callable[[str], tuple]], schema: str, columns: list[str]) -> DataFrame:
-    """One row per row of df: `columns` of it, then what the function that fn() makes returns for its text (null: ""). fn() runs once per task; Arrow batches go through one at a time, so memory is bounded by a batch.
+#: Python objects of so many texts, and of so many bytes of text, are held at a time.
+SLICE_ROWS, SLICE_BYTES = 2000, 4 << 20
+
+
+def slices(batch: pa.RecordBatch, text: int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """batch in consecutive parts of at most `rows` rows and, where there is more than one, about `size` bytes in column `text`."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        full = (ends[at - 1] if at else 0) + size
+        n = min(rows, max(1, int(np.searchsorted(ends, full, "right")) - at))
+        yield batch.slice(at, n)
+        at += n
+
 
-    The texts are cut into slices of at most 2,000 rows, so long texts don't pile up as Python strings.
-    """
+def map_texts(df: DataFrame, fn: Callable[[], Callable[[str], tuple]], schema: str, columns: list[str]) -> DataFrame:
+    """One row per row of df: `columns` of it, then what the function that fn() makes returns for its text (null: ""). fn() runs once per task; Arrow batches go through one at a time, in slices, so memory is bounded by a batch and the largest text."""
     target = list(columns)
     head = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
     full = f"{head}, {schema}" if head else schema
@@ -39,13 +54,10 @@ def map_texts(df: DataFrame, fn: Callable[[], Callable[[str], tuple]], schema: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = fn()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in slices(batch, len(target)):
                 got = [each(t or "") for t in part.column(len(target)).to_pylist()]
-                fields = list(zip(*got, strict=True)) if got else []
-                arrays = [part.column(i) for i in range(len(target))] + [pa.array(f, t) for f, t in zip(fields, types, strict=False)]
-                if got:
-                    yield pa.RecordBatch.from_arrays(arrays, names)
+                arrays = [part.column(i) for i in range(len(target))] + [pa.array(f, t) for f, t in zip(zip(*got, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     spark_schema = StructType.fromDDL(full)
     names = spark_schema.names
@@ -53,6 +65,17 @@ def map_texts(df: DataFrame, fn: Callable[[], Callable[[str], tuple]], schema: s
     return df.select(*columns, F.col("text")).mapInArrow(run, spark_schema)
 
 
+_OWN: dict = {}
+
+
+def own(key: object, make: Callable):  # noqa: ANN201
+    """What make() returned for this key in this worker process, which later tasks use again; of several keys only the last is kept, so a worker's memory stays bounded."""
+    if key not in _OWN:
+        _OWN.clear()
+        _OWN[key] = make()
+    return _OWN[key]
+
+
 class Cache(dict):
     """A dict that fills itself by fn and starts anew at `most` entries, so a worker's memory stays bounded; the answers don't depend on it."""
 

@@ -12,6 +12,7 @@ encoded once per worker and remembered, in a bounded cache.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Callable
 from itertools import chain
@@ -19,10 +20,12 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readgrain.llm.common import Cache, documents, map_texts
+from readgrain.llm.common import Cache, documents, map_texts, own
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
+#: Words, and pairs of pieces, that a worker remembers: about 50 MB in all.
+MOST = 150_000
 
 
 def read_model(path: str) -> dict:
@@ -39,13 +42,13 @@ def read_model(path: str) -> dict:
         raise ValueError("models with user-defined pieces are not supported")
     if any(SPACE in p.piece.lstrip(SPACE) for p in m.pieces):
         raise ValueError("pieces that go beyond a word are not supported")
-    return {"pieces": [p.piece for p in m.pieces], "scores": [p.score for p in m.pieces], "kinds": [p.type for p in m.pieces], "type": m.trainer_spec.model_type, "prefix": norm.add_dummy_prefix, "unk": m.trainer_spec.unk_id, "unk_surface": m.trainer_spec.unk_surface}
+    return {"key": hashlib.md5(m.SerializeToString()).hexdigest(), "pieces": [p.piece for p in m.pieces], "scores": [p.score for p in m.pieces], "kinds": [p.type for p in m.pieces], "type": m.trainer_spec.model_type, "prefix": norm.add_dummy_prefix, "unk": m.trainer_spec.unk_id, "unk_surface": m.trainer_spec.unk_surface}
 
 
 class Codec:
     """Encoder and decoder of one model."""
 
-    def __init__(self, model: dict, most: int = 300_000) -> None:
+    def __init__(self, model: dict, most: int = MOST) -> None:
         import ahocorasick
 
         self.pieces, self.scores, self.type, self.prefix = model["pieces"], model["scores"], model["type"], model["prefix"]
@@ -223,16 +226,22 @@ def split(text: str) -> list[str]:
     return out
 
 
-def encode(docs: DataFrame, model_path: str, columns: list[str], most: int = 300_000) -> DataFrame:
+def codec_of(model: dict, most: int = MOST) -> Codec:
+    """The codec of a model in this worker process: its automaton is built, and its words are remembered, once and not once a task."""
+    return own(("pieces", model["key"], most), lambda: Codec(model, most))
+
+
+def encode(docs: DataFrame, model_path: str, columns: list[str], most: int = MOST) -> DataFrame:
     """`columns` of docs, then ids (array), n_tokens and round_trip (decoding gives the text again), a row per row.
 
     A null or empty text has no ids. Texts are encoded whole, whatever their length. round_trip is false for texts that hold U+2581, which
-    the model reads as a blank. Repeated rows get equal results; an empty table gives an empty one.
+    the model reads as a blank. Repeated rows get equal results; an empty table gives an empty one. `columns` must not be ids, n_tokens or
+    round_trip; other columns of docs aren't read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def make() -> Callable[[str], tuple]:
-        codec = Codec(sent.value, most)
+        codec = codec_of(sent.value, most)
 
         def each(text: str) -> tuple:
             ids = codec.encode(text)
@@ -244,12 +253,12 @@ def encode(docs: DataFrame, model_path: str, columns: list[str], most: int = 300
 
 
 def decode(rows: DataFrame, model_path: str, columns: list[str]) -> DataFrame:
-    """`columns` of rows, then the text of its ids; null ids give a null text."""
+    """`columns` of rows, then the text of its ids, a row per row; null ids give a null text, no ids an empty one. An empty table gives an empty one."""
     sent = rows.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     @F.pandas_udf("string")
     def text_of(ids):  # noqa: ANN001, ANN202
-        codec = Codec(sent.value)
+        codec = codec_of(sent.value)
         return ids.map(lambda x: None if x is None else codec.decode(list(x)))
 
     return rows.select(*columns, text_of("ids").alias("text"))
@@ -262,6 +271,5 @@ def model_path() -> str:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document the number of ids, a digest of them, and whether decoding gives the text again."""
-    rows = encode(documents(spark, sf_dir), model_path(), ["doc_id"])
-    return rows.select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_xxhash64"), "round_trip")
+    """Per document its ids, their number, and whether decoding gives the text again."""
+    return encode(documents(spark, sf_dir), model_path(), ["doc_id"])

@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readgrain.llm.common import documents, map_texts
+from readgrain.llm.common import documents, map_texts, slices
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS, MOST_CHARS = 24, 100
@@ -102,10 +102,12 @@ def fits(kind: int, span: str, digits: str) -> bool:
     """What a segment of a kind must hold; all others score minus infinity."""
     if kind == 0:
         return bool(MARKED.fullmatch(span))
+    if any(map(str.isalpha, span)):
+        return False
     if kind == 1:
         parts = re.split(r"[^0-9]+", span)
         return len(parts) == 4 and all(p and small(p) for p in parts)
-    return not any(map(str.isalpha, span)) and (12 <= len(digits) <= 19 if kind == 2 else 7 <= len(digits) <= 15)
+    return (12 <= len(digits) <= 19 if kind == 2 else 7 <= len(digits) <= 15)
 
 
 def features(kind: int, text: str, a: int, b: int) -> list[str]:
@@ -128,25 +130,77 @@ def features(kind: int, text: str, a: int, b: int) -> list[str]:
 
 
 def lattice(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-    """Tokens of text[a:b], and the segments (first token, token after the last, kind) that can score."""
+    """Tokens of text[a:b], and the segments (first token, token after the last, kind) that can score.
+
+    What a kind must hold is known from running counts of digits, letters and runs of digits, so a segment that can't score costs nothing
+    but a comparison, and fits() decides only where it can still fail.
+    """
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text, a, b)]
-    edge = lambda i, j: not ((i and text[i - 1].isalnum()) or (j < len(text) and text[j].isalnum()))
-    out = []
+    n = len(tokens)
+    digits, letters, runs = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    opens, closes = [False] * n, [False] * n
+    for i, (s, e) in enumerate(tokens):
+        number, letter = "0" <= text[s] <= "9", text[s].isalpha()
+        digits[i + 1], letters[i + 1], runs[i + 1] = digits[i] + (e - s if number else 0), letters[i] + letter, runs[i] + number
+        opens[i] = not text[s].isspace() and not (s and text[s - 1].isalnum())
+        closes[i] = text[e - 1].isalnum() and not (e < len(text) and text[e].isalnum())
+    ends = [j + 1 for j in range(n) if closes[j]]
+    out, first = [], 0
     for i, (s, _) in enumerate(tokens):
-        if text[s].isspace() or (s and text[s - 1].isalnum()):
+        if not opens[i]:
             continue
-        for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
+        while first < len(ends) and ends[first] <= i:
+            first += 1
+        for at in range(first, len(ends)):
+            j = ends[at]
             e = tokens[j - 1][1]
-            if e - s > MOST_CHARS:
+            if j - i > MOST_TOKENS or e - s > MOST_CHARS:
                 break
-            if e - s < 7 or not text[e - 1].isalnum() or not edge(s, e):
+            if e - s < 7:
                 continue
-            span = text[s:e]
-            digits = NOT_DIGIT.sub("", span)
-            out += [(i, j, k) for k in range(4) if fits(k, span, digits)]
+            d = digits[j] - digits[i]
+            if letters[j] > letters[i]:
+                if fits(0, text[s:e], ""):
+                    out.append((i, j, 0))
+                continue
+            if runs[j] - runs[i] == 4 and fits(1, text[s:e], ""):
+                out.append((i, j, 1))
+            if 12 <= d <= 19:
+                out.append((i, j, 2))
+            if 7 <= d <= 15:
+                out.append((i, j, 3))
     return tokens, out
 
 
+class Scores:
+    """Scores of segments; those of one kind and shape, behind the same cues, are added up once. What is remembered is bounded."""
+
+    def __init__(self, w: dict[str, float], most: int = 20_000) -> None:
+        self.w, self.most, self.seen = w, most, {}
+
+    def of(self, kind: int, text: str, a: int, b: int, cues: tuple) -> float:
+        span = text[a:b]
+        if kind == 0:
+            return sum(self.w.get(f, 0.0) for f in features(kind, text, a, b))
+        digits = NOT_DIGIT.sub("", span) if kind == 2 else ""
+        # features() sees of these spans: digits as such, separators, the cues, and the checksum of a card
+        key = (kind, span.translate(SHAPE), span[0] == "0", cues, kind == 2 and luhn(digits))
+        if (s := self.seen.get(key)) is None:
+            if len(self.seen) >= self.most:
+                self.seen.clear()
+            s = self.seen[key] = sum(self.w.get(f, 0.0) for f in features(kind, text, a, b))
+        return s
+
+
+#: Digits look alike.
+SHAPE = str.maketrans("0123456789", "9999999999")
+
+
+def cues_before(text: str, a: int) -> tuple:
+    before = text[max(0, a - 30) : a].lower()
+    return tuple(any(c in before for c in CUES[k]) for k in CUES)
+
+
 PLACES = ("Reach me on", "Call", "tel:", "phone", "Contact", "write to", "mail", "card number", "pay with visa", "server", "host", "from", "the", "and", "see", "version", "page", "on", "order", "id", "total", "of")
 
 
@@ -248,16 +302,21 @@ def _sums(n: int, segments: list[tuple[int, int, int]], score: list[float]) -> t
     return ahead, behind
 
 
-def decode(text: str, a: int, b: int, w: dict[str, float]) -> list[tuple[int, int, int]]:
+def decode(text: str, a: int, b: int, w: dict[str, float], scores: Scores | None = None) -> list[tuple[int, int, int]]:
     """The best segmentation of a region, as (start, kind, end)."""
     tokens, segments = lattice(text, a, b)
     if not segments:
         return []
+    scores = scores or Scores(w)
     n = len(tokens)
     best, back = [0.0] * (n + 1), [None] * (n + 1)
     ends: dict[int, list] = {}
+    at, cues = -1, ()
     for i, j, k in segments:
-        ends.setdefault(j, []).append((i, k, sum(w.get(f, 0.0) for f in features(k, text, tokens[i][0], tokens[j - 1][1]))))
+        if i != at:
+            at, cues = i, cues_before(text, tokens[i][0])
+        if (s := scores.of(k, text, tokens[i][0], tokens[j - 1][1], cues)) > 0:  # others never beat tokens of no kind
+            ends.setdefault(j, []).append((i, k, s))
     for j in range(1, n + 1):
         best[j] = best[j - 1]
         for i, k, s in ends.get(j, ()):
@@ -274,8 +333,9 @@ def decode(text: str, a: int, b: int, w: dict[str, float]) -> list[tuple[int, in
     return out[::-1]
 
 
-def find(text: str, w: dict[str, float]) -> tuple[list, list]:
+def find(text: str, w: dict[str, float], scores: Scores | None = None) -> tuple[list, list]:
     """The base spans, and all spans: the field's too where they overlap no base span."""
+    scores = scores or Scores(w)
     base = base_spans(text)
     taken = sorted((a, b) for a, _, b in base)
     more, at, until = [], 0, 0  # regions and base spans both ascend; until is where the base spans so far end
@@ -287,11 +347,11 @@ def find(text: str, w: dict[str, float]) -> tuple[list, list]:
         while at < len(taken) and taken[at][0] < b:
             x, y = taken[at]
             if x - cut >= 7:
-                more += decode(text, cut, x, w)
+                more += decode(text, cut, x, w, scores)
             cut = max(cut, y)
             at += 1
         if b - cut >= 7:
-            more += decode(text, cut, b, w)
+            more += decode(text, cut, b, w, scores)
         until = max(until, cut)
     return base, sorted([*base, *more])
 
@@ -310,9 +370,10 @@ def spans_of(docs: DataFrame, columns: list[str]) -> DataFrame:
 
     def make() -> Callable[[str], tuple]:
         w = sent.value
+        scores = Scores(w)
 
         def each(text: str) -> tuple:
-            base, every = find(text, w)
+            base, every = find(text, w, scores)
             counts = [0] * 4
             for _, k, _ in base:
                 counts[k] += 1
@@ -324,30 +385,40 @@ def spans_of(docs: DataFrame, columns: list[str]) -> DataFrame:
     return map_texts(docs, make, "n_email long, n_ip long, n_card long, n_phone long, base_spans string, base_sha256 string, spans string", columns)
 
 
+def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """text with each span replaced by its kind in brackets; of spans that overlap one remains, named by the first."""
+    merged: list[list[int]] = []
+    for a, k, b in spans:
+        if merged and a < merged[-1][2]:
+            merged[-1][2] = max(b, merged[-1][2])
+        else:
+            merged.append([a, k, b])
+    out, done = [], 0
+    for a, k, b in merged:
+        out += [text[done:a], f"[{KINDS[k].upper()}]"]
+        done = b
+    return "".join([*out, text[done:]])
+
+
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with each span's text replaced by its kind in brackets, and n_chars to match; other rows stay as they are. Overlaps merge, the first kind names them."""
+    """docs with each span's text replaced by its kind in brackets, and n_chars (if there) to match; rows without a span stay as they are.
+
+    Null texts stay null, empty ones empty; texts are read whole, whatever their length. Repeated rows change alike. All other columns,
+    whatever their names, are passed through. An empty table gives an empty one.
+    """
     w = docs.sparkSession.sparkContext.broadcast(train())
     schema, at, n = docs.schema, docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
-    def run(batches):  # noqa: ANN001, ANN202
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        scores = Scores(w.value)
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
+            for part in slices(batch, at):
                 texts, sizes = part.column(at).to_pylist(), part.column(n).to_pylist() if n is not None else None
                 for i, t in enumerate(texts):
-                    if t and (found := find(t, w.value)[1]):
-                        out, done, merged = [], 0, []
-                        for a, k, b in found:
-                            if merged and a < merged[-1][2]:
-                                merged[-1][2] = max(b, merged[-1][2])
-                            else:
-                                merged.append([a, k, b])
-                        for a, k, b in merged:
-                            out += [t[done:a], f"[{KINDS[k].upper()}]"]
-                            done = b
-                        texts[i] = "".join([*out, t[done:]])
+                    if t and (found := find(t, w.value, scores)[1]):
+                        texts[i] = redact(t, found)
                         if sizes is not None:
                             sizes[i] = len(texts[i])
                 columns = list(part.columns)

@@ -2,9 +2,10 @@
 
 One pass over the texts gives a few counts per document. Their shares (per mille) go into histogram sketches: a value keeps its leading
 seven bits, so a sketch has a bounded number of cells, an error below 1 %, and merges by adding counts. Grouping sets build the sketches
-per (language, source), per language and for all at once, by map-side counting; a group too small for quantiles of its own takes those
-of its language, else those of all. Upper fences q75 + 3 (q75 - q25), at least a slack above q75, replace fixed cutoffs, and a join brings
-them to the documents.
+per (language, source), per language and for all at once, by map-side counting. A group's threshold is REACH times its upper-tail
+quantile TAIL. A quantile of few rows says little, so each group's is drawn towards its language's by as much as DRAW rows weigh, and the
+language's likewise towards that of all; this is one formula for groups of every size. A join brings the thresholds to the documents. A
+document fails where its count is above what the threshold allows by more than chance explains (Z standard errors of a count).
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from pyspark.sql import functions as F
 
 from readgrain.llm.common import documents, map_texts, materialise
 
-#: Per metric, the least distance of its fence from the third quartile, per mille.
-SLACK = {"symbols_pm": 60, "dup_lines_pm": 300, "repeats_pm": 150, "capitals_pm": 300}
-LEAST_GROUP = 50
+#: The tail's quantile, how far beyond it the threshold is, the weight (in rows) of the wider group, and standard errors.
+TAIL, REACH, DRAW, Z = 0.95, 2.0, 50, 3.0
+#: Per share: its count, and what that is counted among.
+SHARES = {"symbols_pm": ("n_symbols", "word_chars"), "dup_lines_pm": ("n_dup_lines", "n_lines"), "repeats_pm": ("n_repeat_words", "n_words"), "capitals_pm": ("n_capitals", "n_letters")}
 LEAST_WORDS, MOST_REPEATS_PC, WINDOW = 10, 20, 5
 SYMBOLS = b"#*$%&|<>"
 CAPITALS = bytes(range(65, 91))
@@ -65,8 +67,7 @@ def measure(text: str) -> tuple:
 
 
 def shares() -> dict[str, Column]:
-    part = lambda a, b: F.floor(F.col(a) * 1000 / F.greatest(F.col(b), F.lit(1))).cast("long")
-    return {"symbols_pm": part("n_symbols", "word_chars"), "dup_lines_pm": part("n_dup_lines", "n_lines"), "repeats_pm": part("n_repeat_words", "n_words"), "capitals_pm": part("n_capitals", "n_letters")}
+    return {k: F.floor(F.col(a) * 1000 / F.greatest(F.col(b), F.lit(1))).cast("long") for k, (a, b) in SHARES.items()}
 
 
 def cell(v: Column) -> Column:
@@ -75,46 +76,50 @@ def cell(v: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift)
 
 
-def fences(rows: DataFrame, slack: dict[str, int] = SLACK, least: int = LEAST_GROUP) -> DataFrame:
-    """A row per (lang, source) of rows with a fence per metric."""
-    names = list(slack)
-    long = rows.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(i).alias("m"), cell(F.col(n)).alias("v")) for i, n in enumerate(names)])).alias("x")).select("lang", "source", "x.m", "x.v")
-    cells = long.groupingSets([["m", "v", "lang", "source"], ["m", "v", "lang"], ["m", "v"]], "m", "v", "lang", "source").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
-    cells = materialise(cells, "rules-sketches")
+def sketches(rows: DataFrame) -> DataFrame:
+    """Cells of rows' shares: lang, source, m (place in SHARES), v (cell) and n, with g 0 per (lang, source), 1 per lang, 3 for all.
+
+    Sketches of parts of a table add up: those of the whole are the sums of n by all other columns.
+    """
+    each = F.array(*[F.struct(F.lit(i).alias("m"), cell(F.col(n)).alias("v")) for i, n in enumerate(SHARES)])
+    long = rows.select("lang", "source", F.explode(each).alias("x")).select("lang", "source", "x.m", "x.v")
+    return long.groupingSets([["m", "v", "lang", "source"], ["m", "v", "lang"], ["m", "v"]], "m", "v", "lang", "source").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+
+
+def fences(cells: DataFrame, tail: float = TAIL, reach: float = REACH, draw: int = DRAW) -> DataFrame:
+    """A row per (lang, source) of sketches(): _lang, _source, and a threshold per share (max_*), per mille."""
     by = Window.partitionBy("g", "lang", "source", "m")
     run = cells.withColumns({"upto": F.sum("n").over(by.orderBy("v")), "all": F.sum("n").over(by)})
-    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * p), F.col("v")))
-    per = run.groupBy("g", "lang", "source", "m").agg(F.max("all").alias("rows"), at(0.25).alias("q1"), at(0.75).alias("q3"))
-    room = F.element_at(F.lit([slack[n] for n in names]), F.col("m") + 1)
-    per = per.withColumn("fence", F.col("q3") + F.greatest(3 * (F.col("q3") - F.col("q1")), room))
-    wide = per.groupBy("g", "lang", "source").agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("m") == i, F.col("fence"))).alias(n) for i, n in enumerate(names)])
-    wide = materialise(wide, "rules-fences")
-    own, lang = (wide.filter(F.col("g") == g).drop("g") for g in (0, 1))
-    lang = lang.select(F.col("lang").alias("l"), F.col("rows").alias("l_rows"), *[F.col(n).alias(f"l_{n}") for n in names])
-    every = wide.filter(F.col("g") == 3).select(F.col("g").alias("a"), *[F.col(n).alias(f"a_{n}") for n in names])
-    both = own.join(lang, F.col("lang").eqNullSafe(F.col("l")), "left")
-    needs = F.when(F.col("rows") >= least, 0).when(F.col("l_rows") >= least, 1).otherwise(3)
-    both = both.withColumn("k", needs.cast("long")).join(every, F.col("k") == F.col("a"), "left")
-    pick = lambda n: F.when(F.col("rows") >= least, F.col(n)).when(F.col("l_rows") >= least, F.col(f"l_{n}")).otherwise(F.col(f"a_{n}"))
-    return both.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[pick(n).alias(f"max_{n}") for n in names])
-
-
-def judge(docs: DataFrame, columns: list[str], slack: dict[str, int] = SLACK, least: int = LEAST_GROUP) -> DataFrame:
-    """`columns` of docs, the counts of measure(), the shares, their fences (max_*), base_failed, and kept, a row per row.
-
-    kept is false where base_failed holds (fewer than 10 words, or over 20 % of words in repeated windows) or a share is above its fence.
-    A null text has no words, so it fails. Null languages and sources are groups of their own. An empty table gives no rows.
+    per = run.groupBy("g", "lang", "source", "m").agg(F.max("all").alias("rows"), F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * tail), F.col("v"))).alias("q"))
+    wide = per.groupBy("g", "lang", "source").agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("m") == i, F.col("q"))).cast("double").alias(n) for i, n in enumerate(SHARES)])
+    wide = materialise(wide, "rules-quantiles")
+    own, lang = (wide.filter(F.col("g") == g) for g in (0, 1))
+    every = wide.filter(F.col("g") == 3).select(F.lit(1).alias("a"), *[F.col(n).alias(f"a_{n}") for n in SHARES])
+    drawn = lambda q, wider, n: (F.col(n) * F.col(q) + draw * F.col(wider)) / (F.col(n) + draw)
+    lang = lang.join(every, F.col("g") == F.col("a")).select(F.col("lang").alias("l"), *[drawn(n, f"a_{n}", "rows").alias(f"l_{n}") for n in SHARES])
+    both = own.join(lang, F.col("lang").eqNullSafe(F.col("l")))
+    return both.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[(reach * drawn(n, f"l_{n}", "rows")).alias(f"max_{n}") for n in SHARES])
+
+
+def judge(docs: DataFrame, columns: list[str], tail: float = TAIL, reach: float = REACH, draw: int = DRAW, z: float = Z) -> DataFrame:
+    """`columns` of docs, the counts of measure(), the shares, their thresholds (max_*), base_failed, and kept, a row per row.
+
+    kept is false where base_failed holds (fewer than 10 words, or over 20 % of words in repeated windows) or a count is above its
+    threshold's by more than z standard errors (of a count of mean threshold + 1). A null text has no words, so it fails. Null languages
+    and sources are groups of their own. Texts are read whole, whatever their length; repeated rows count as often as they stand and get
+    equal results. An empty table gives no rows. `columns` must not bear the names of the results; other columns aren't read.
     """
     keep = list(dict.fromkeys([*columns, "lang", "source"]))
     schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long, n_letters long"
     counted = map_texts(docs, lambda: measure, schema, keep).withColumns(shares())
     counted = counted.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATS_PC))
     rows = materialise(counted, "rules-counts")
-    limits = fences(rows, slack, least)
+    limits = materialise(fences(materialise(sketches(rows), "rules-sketches"), tail, reach, draw), "rules-fences")
     both = rows.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
     fine = ~F.col("base_failed")
-    for n in slack:
-        fine = fine & (F.col(n) <= F.col(f"max_{n}"))
+    for n, (count, among) in SHARES.items():
+        allowed = F.col(f"max_{n}") / 1000 * F.col(among)
+        fine = fine & (F.col(count) - allowed <= z * F.sqrt(allowed + 1))
     return both.withColumn("kept", fine).drop("_lang", "_source", *[c for c in ("lang", "source") if c not in columns])
 
 
