@@ -45,8 +45,8 @@ def slices(batch: pa.RecordBatch, text: int, rows: int = SLICE_ROWS, size: int =
         at += n
 
 
-def map_texts(df: DataFrame, fn: Callable[[], Callable[[str], tuple]], schema: str, columns: list[str]) -> DataFrame:
-    """One row per row of df: `columns` of it, then what the function that fn() makes returns for its text (null: ""). fn() runs once per task; Arrow batches go through one at a time, in slices, so memory is bounded by a batch and the largest text."""
+def map_texts(df: DataFrame, fn: Callable[[], Callable[[str], tuple]], schema: str, columns: list[str], keep: bool = False) -> DataFrame:
+    """One row per row of df: `columns` of it, then what the function that fn() makes returns for its text (null: ""). fn() runs once per task (keep: and uses own()); Arrow batches go through one at a time, in slices, so memory is bounded by a batch and the largest text."""
     target = list(columns)
     head = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
     full = f"{head}, {schema}" if head else schema
@@ -62,7 +62,7 @@ def map_texts(df: DataFrame, fn: Callable[[], Callable[[str], tuple]], schema: s
     spark_schema = StructType.fromDDL(full)
     names = spark_schema.names
     types = [to_arrow_type(f.dataType) for f in spark_schema.fields[len(target) :]]
-    return df.select(*columns, F.col("text")).mapInArrow(run, spark_schema)
+    return df.select(*columns, F.col("text")).mapInArrow(task(run, keep), spark_schema)
 
 
 _OWN: dict = {}
@@ -76,6 +76,28 @@ def own(key: object, make: Callable):  # noqa: ANN201
     return _OWN[key]
 
 
+def task(run: Callable, keep: bool = False) -> Callable:
+    """run, a function for mapInArrow, which leaves little memory behind in its worker: what another operator kept goes first (unless keep), and what was freed goes back to the system at the end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+        import gc
+
+        if not keep:
+            _OWN.clear()
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return whole
+
+
 class Cache(dict):
     """A dict that fills itself by fn and starts anew at `most` entries, so a worker's memory stays bounded; the answers don't depend on it."""
 

@@ -249,7 +249,7 @@ def encode(docs: DataFrame, model_path: str, columns: list[str], most: int = MOS
 
         return each
 
-    return map_texts(docs, make, "ids array<int>, n_tokens long, round_trip boolean", columns)
+    return map_texts(docs, make, "ids array<int>, n_tokens long, round_trip boolean", columns, keep=True)
 
 
 def decode(rows: DataFrame, model_path: str, columns: list[str]) -> DataFrame:

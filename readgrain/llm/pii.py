@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readgrain.llm.common import documents, map_texts, slices
+from readgrain.llm.common import documents, map_texts, slices, task
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS, MOST_CHARS = 24, 100
@@ -427,7 +427,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                     columns[n] = pa.array(sizes, part.schema.field(n).type)
                 yield pa.RecordBatch.from_arrays(columns, part.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(task(run), schema)
 
 
 def has_spans(spans: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from readgrain.llm.common import documents, forget, materialise, slices
+from readgrain.llm.common import documents, forget, materialise, slices, task
 
 #: Bound of the labelled rows that are fitted on: those of the smallest hash of id and text.
 LABELLED = 8000
@@ -148,7 +148,7 @@ def sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> list
                 views = [content_view(t) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(views, pa.list_(pa.float64()))], schema.names)
 
-    rows = got.select("text", *schema.names[:-1]).mapInArrow(run, schema)
+    rows = got.select("text", *schema.names[:-1]).mapInArrow(task(run), schema)
     return rows.orderBy("hash").limit(labelled).collect()
 
 
@@ -169,7 +169,7 @@ def measured(docs: DataFrame, known: dict, columns: list[str]) -> DataFrame:
                 metadata = [metadata_view(*m, sent.value) for m in zip(*beside, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *(pa.array(v, pa.list_(pa.float64())) for v in (content, metadata))], schema.names)
 
-    return with_size(docs).select(*columns, F.col("text").alias("__rg_t"), F.col("lang").alias("__rg_l"), F.col("source").alias("__rg_s"), F.col("n_chars").cast("long").alias("__rg_n")).mapInArrow(run, schema)
+    return with_size(docs).select(*columns, F.col("text").alias("__rg_t"), F.col("lang").alias("__rg_l"), F.col("source").alias("__rg_s"), F.col("n_chars").cast("long").alias("__rg_n")).mapInArrow(task(run), schema)
 
 
 def matrix(column):  # noqa: ANN001, ANN201
@@ -212,7 +212,7 @@ def lessons(rows: DataFrame, models: list[Logistic], sure: float) -> dict[int, t
             for v, part in total.items():
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), v, np.int32)), pa.array(np.arange(len(part), dtype=np.int32)), pa.array(part)], ["v", "i", "n"])
 
-    sums = rows.select("__rg_content", "__rg_metadata").mapInArrow(run, "v int, i int, n long").groupBy("v", "i").agg(F.sum("n").alias("n")).collect()
+    sums = rows.select("__rg_content", "__rg_metadata").mapInArrow(task(run), "v int, i int, n long").groupBy("v", "i").agg(F.sum("n").alias("n")).collect()
     out = {}
     for v in (0, 1):
         flat, d = np.zeros(1), len(models[v].w)
@@ -304,7 +304,7 @@ def scored(docs: DataFrame, labels: DataFrame, columns: list[str], labelled: int
                     s = score_of(sent.value, content, np.array([metadata_view(*m, sent.value["known"]) for m in zip(*beside, strict=True)]))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(s)], schema.names)
 
-    return wide.select(*columns, *[F.col(c).alias(names[c]) for c in extra]).mapInArrow(run, schema)
+    return wide.select(*columns, *[F.col(c).alias(names[c]) for c in extra]).mapInArrow(task(run), schema)
 
 
 def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
