@@ -301,7 +301,8 @@ def scored(docs: DataFrame, labels: DataFrame, columns: list[str], labelled: int
                 else:
                     text, *beside = (part.column(at[c]).to_pylist() for c in names)
                     content = np.array([content_view(t) for t in text])
-                    s = score_of(sent.value, content, np.array([metadata_view(*m, sent.value["known"]) for m in zip(*beside, strict=True)]))
+                    # rounded, as products of matrices differ in their last bits with the number of rows
+                    s = np.round(score_of(sent.value, content, np.array([metadata_view(*m, sent.value["known"]) for m in zip(*beside, strict=True)])), 9)
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(s)], schema.names)
 
     return wide.select(*columns, *[F.col(c).alias(names[c]) for c in extra]).mapInArrow(task(run), schema)

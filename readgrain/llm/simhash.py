@@ -5,8 +5,13 @@ counters: sum((h >>> i) & (1 + 2^32)) counts bit i in its low half and bit i + 3
 The sums are plain aggregates over exploded terms, grouped by the document within the partition it is in, so they need no shuffle.
 
 The next document in descending order of doc_id comes from range buckets: the id range is cut into 1,024 cells, each cell into parts of
-about sqrt(rows) / 4 rows, and within a bucket a window sees the next row. Each bucket also gets, as a last row, a copy of the first row
-of the bucket after it. So one shuffle moves the texts, whatever the number of documents.
+about sqrt(rows) / 4 rows, and within a bucket a window sees the next row. An id that more rows than that have, null above all, is cut
+further by a hash of the text, which is also what orders its rows. Each bucket also gets, as a last row, a copy of the first row of the
+bucket after it. So one shuffle moves the texts, whatever the number of documents.
+
+Fingerprints within RADIUS bits of each other agree on one of RADIUS + 1 blocks of bits at least, so each is in RADIUS + 1 tables, keyed by
+a block. A table's entries of one value are kept in chunks (arrays), and a search looks at a chunk as one row: it reads all fingerprints
+that share a block with the sought one, counts those within the radius that no earlier table has shown, and makes no row per pair.
 """
 
 from __future__ import annotations
@@ -18,6 +23,10 @@ from readgrain.llm.common import BLANK, documents, materialise
 
 BLANKS = " \t\n\x0b\x0c\r"
 CELLS = 1024
+#: Bits that near fingerprints may differ in; entries of a table that share a block's value are in chunks of about CHUNK.
+RADIUS, CHUNK = 3, 256
+#: Searches are for the fingerprints of documents whose id is divisible by this.
+SOUGHT = 20
 PAIR = 4294967297
 LOW = 4294967295
 
@@ -51,18 +60,25 @@ def bits(k: int, n: Column) -> Column:
 
 
 def buckets(docs: DataFrame) -> Column:
-    """An expression from doc_id to a bucket: ascending with the id, about sqrt(rows) / 4 rows in each; -1 for null ids.
+    """An expression from doc_id and h (a hash of the text) to a bucket that ascends in the order of documents (ids descend, nulls last, then h ascends), about sqrt(rows) / 4 rows in each.
 
-    What reaches the driver is one row per cell, CELLS at most.
+    A bucket is (b, s, p): b from the id's cell, s and p only where ids with very many rows are. What reaches the driver is one row per
+    cell, CELLS at most, and one per such id, 4 sqrt(rows) at most.
     """
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    most = max(64, int(n**0.5 / 4))
+    # of ids with more rows than a bucket should have: their rows
+    heavy = {r[0]: r[1] for r in docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") > most).collect()}
+    share = (F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(2**63))), 1).cast("double")) / F.lit(float(2**63))
+    bucket = lambda b, s, p: F.struct(b.cast("long").alias("b"), s.cast("long").alias("s"), p.cast("long").alias("p"))
+    nulls = bucket(F.lit(2**62), F.lit(0), F.floor(share * -(-heavy.get(None, 1) // most)))
     if low is None:
-        return F.lit(-1).cast("long")
+        return nulls
     width = -(-(high - low + 1) // CELLS)
     cell = F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("int") if high - low < 2**52 else F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("int")
     cell = F.least(F.greatest(cell, F.lit(0)), F.lit(CELLS - 1))
     found = {r[0]: r[1:] for r in docs.filter(F.col("doc_id").isNotNull()).groupBy(cell.alias("c")).agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).collect()}
-    most, first, starts, widths, at = max(64, int(n**0.5 / 4)), 0, [], [], []
+    first, starts, widths, at = 0, [], [], []
     for c in range(CELLS):
         rows, a, b = found.get(c, (0, low, low))
         parts = max(1, -(-rows // most))
@@ -71,27 +87,35 @@ def buckets(docs: DataFrame) -> Column:
         at.append(first)
         first += parts
     # one literal, folded to an array before anything runs
-    pick = lambda xs: F.element_at(F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>"), cell + 1)
-    return F.coalesce(pick(at) + F.floor((F.col("doc_id") - pick(starts)) / pick(widths)).cast("long"), F.lit(-1).cast("long"))
+    array = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    pick = lambda xs: F.element_at(array(xs), cell + 1)
+    b, s, p = -(pick(at) + F.floor((F.col("doc_id") - pick(starts)) / pick(widths)).cast("long")), F.lit(0), F.lit(0)
+    if many := sorted(k for k in heavy if k is not None):
+        own = F.array_position(array(many), F.col("doc_id"))
+        s = 2 * F.size(F.filter(array(many), lambda x: x > F.col("doc_id"))) + (own > 0).cast("int")
+        p = F.when(own > 0, F.floor(share * F.element_at(array([-(-heavy[k] // most) for k in many]), F.greatest(own, F.lit(1)).cast("int")))).otherwise(0)
+    return F.when(F.col("doc_id").isNull(), nulls).otherwise(bucket(b, s, p))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next, a row per row.
+    """doc_id, n_chars, edited_sha256, near_edited, near_next, and the fingerprints as longs: a and b of the text, ea and eb of the edited text; a row per row.
 
     A null text is empty; the fingerprint of a text without words is 0. Equal texts have equal fingerprints. Rows of one doc_id follow
-    each other by a hash of their text. A single document is its own next. Null ids come after all others. Other columns aren't read.
+    each other by a hash of their text. A single document is its own next. Null ids come after all others. Very long texts are read
+    whole. An empty table gives no rows. Other columns aren't read.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bucket = buckets(docs)
-    rows = docs.withColumns({"bucket": bucket, "h": F.xxhash64("text"), "tail": F.lit(0)})
-    # the first row of each bucket (ids descend), as the last row of the bucket before it
-    heads = rows.groupBy("bucket").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), F.bitwise_not("h").alias("h"))).alias("top"))
+    rows = docs.withColumns({"h": F.xxhash64("text"), "tail": F.lit(0)})
+    rows = rows.withColumn("bucket", buckets(rows))
+    # the first row of each bucket, as the last row of the bucket before it
+    null = F.lit(-(2**63))
+    heads = rows.groupBy("bucket").agg(F.max(F.struct(F.coalesce("doc_id", null).alias("i"), F.bitwise_not("h").alias("h"))).alias("top"))
     whole = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select(F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.min("bucket").over(whole)).alias("to"), F.col("top.i").alias("i"), F.bitwise_not("top.h").alias("th"))
+    heads = heads.select(F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(whole)).alias("to"), F.col("top.i").alias("i"), F.bitwise_not("top.h").alias("th"))
     heads = materialise(heads, "simhash-heads")
     # about 4 sqrt(rows) + CELLS heads of 40 bytes; beyond two million the join is left to the planner
     heads = F.broadcast(heads) if heads.count() <= 2_000_000 else heads
-    found = rows.join(heads, (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("i")) & (F.col("h") == F.col("th"))).dropDuplicates(["to"])
+    found = rows.join(heads, (F.coalesce("doc_id", null) == F.col("i")) & (F.col("h") == F.col("th"))).dropDuplicates(["to"])
     ends = found.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", F.col("to").alias("bucket"), F.lit(0).cast("long").alias("h"), F.lit(1).alias("tail"))
     by = Window.partitionBy("bucket").orderBy("tail", F.col("doc_id").desc_nulls_last(), "h")
     n, m = F.length("text"), F.floor(F.length("text") / 3).cast("int")
@@ -106,9 +130,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     both = prints.groupBy(*keys).agg(of("a", 0).alias("a"), of("b", 0).alias("b"), of("a", 1).alias("ea"), of("b", 1).alias("eb"))
     step = Window.partitionBy("bucket").orderBy("rn")
     both = both.withColumns({"na": F.lead("a").over(step), "nb": F.lead("b").over(step)}).filter("tail = 0")
-    return both.select(
-        "doc_id", "n_chars", "edited_sha256", as_text("a", "b").alias("fingerprint"), as_text("ea", "eb").alias("edited_fingerprint"), likeness("a", "b", "ea", "eb").alias("near_edited"), likeness("a", "b", "na", "nb").alias("near_next")
-    )
+    return both.select("doc_id", "n_chars", "edited_sha256", likeness("a", "b", "ea", "eb").alias("near_edited"), likeness("a", "b", "na", "nb").alias("near_next"), "a", "b", "ea", "eb")
 
 
 def as_text(a: str, b: str) -> Column:
@@ -120,33 +142,66 @@ def likeness(a: str, b: str, c: str, d: str) -> Column:
     return F.lit(1.0) - apart / F.lit(128.0)
 
 
-def near_pairs(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """All pairs of different fingerprints (a < b, with their distance) at most `radius` bits apart; prints has a column fingerprint.
+def masks(radius: int) -> list[tuple[int, int]]:
+    """The 128 bits in radius + 1 blocks: of each the bits in the first and in the second long."""
+    cuts = [128 * i // (radius + 1) for i in range(radius + 2)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    out = []
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        bits = ((1 << high) - 1) ^ ((1 << low) - 1)
+        out.append((signed(bits & (2**64 - 1)), signed(bits >> 64)))
+    return out
+
+
+def tables(prints: DataFrame, radius: int) -> DataFrame:
+    """The permuted tables of distinct fingerprints (a, b): t (table), x and y (the bits of its block), a and b."""
+    block = [F.struct(F.lit(t).alias("t"), F.col("a").bitwiseAND(F.lit(p)).alias("x"), F.col("b").bitwiseAND(F.lit(q)).alias("y")) for t, (p, q) in enumerate(masks(radius))]
+    return prints.select("a", "b", F.explode(F.array(*block)).alias("k")).select("k.*", "a", "b")
 
-    Equal fingerprints are one. The 128 bits are cut into radius + 1 blocks; two fingerprints within the radius agree on one block at
-    least. Each of the radius + 1 tables is keyed by its block, an equi-join finds what agrees there, and the distance is checked. A pair
-    is reported once. A block value that very many fingerprints share (the join's output is quadratic in
-    it) is narrowed by a second block: of the rest, the bits within the radius agree on one of radius + 1 further blocks.
+
+def count_near(prints: DataFrame, sought: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """sought (distinct fingerprints a, b; none null) with n_near: how many other distinct fingerprints of prints are at most `radius` bits away.
+
+    Exact, whatever the number of fingerprints that share a block: values with more than a chunk of them are dealt to as many chunks by a
+    hash, and the searches for such a value to its chunks. An empty table gives no rows.
     """
-    p = prints.select("fingerprint").filter(F.length("fingerprint") == 32).distinct()
-    cuts = [128 * i // (radius + 1) for i in range(radius + 2)]
-    text = F.concat(*[F.lpad(F.conv(F.substring("fingerprint", 8 * i + 1, 8), 16, 2), 32, "0") for i in range(4)])
-    blocks = [F.substring("_bits", cuts[i] + 1, cuts[i + 1] - cuts[i]) for i in range(radius + 1)]
-    rows = p.withColumn("_bits", text).select("fingerprint", F.array(*blocks).alias("blocks"))
-    keyed = []
-    for i in range(radius + 1):
-        rest = [j for j in range(radius + 1) if j != i]
-        more = F.concat(*[F.col("blocks")[j] for j in rest])
-        size = 128 - (cuts[i + 1] - cuts[i])
-        seconds = [F.substring(more, size * k // (radius + 1) + 1, size * (k + 1) // (radius + 1) - size * k // (radius + 1)) for k in range(radius + 1)]
-        keyed.append(F.struct(F.lit(i).alias("t"), F.col("blocks")[i].alias("v"), F.array(*seconds).alias("s")))
-    keyed_rows = rows.select("fingerprint", "blocks", F.explode(F.array(*keyed)).alias("k")).select("fingerprint", "blocks", "k.t", "k.v", F.posexplode("k.s").alias("u", "w"))
-    x, y = keyed_rows.alias("x"), keyed_rows.alias("y")
-    on = (F.col("x.t") == F.col("y.t")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.u") == F.col("y.u")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.fingerprint") < F.col("y.fingerprint"))
-    half = lambda c, k: F.conv(F.substring(c, 8 * k + 1, 8), 16, 10).cast("long")
-    apart = sum((F.bit_count(half("x.fingerprint", k).bitwiseXOR(half("y.fingerprint", k))) for k in range(4)), F.lit(0))
-    return x.join(y, on).select(F.col("x.fingerprint").alias("a"), F.col("y.fingerprint").alias("b"), apart.cast("int").alias("distance")).filter(F.col("distance") <= radius).distinct()
+    every = tables(prints.select("a", "b").distinct(), radius)
+    every = materialise(every, "simhash-tables")
+    full = every.groupBy("t", "x", "y").agg(F.count("*").alias("n")).filter(F.col("n") > chunk).select("t", "x", "y", F.ceil(F.col("n") / F.lit(chunk)).cast("int").alias("parts"))
+    full = materialise(full, "simhash-full")
+    on, parts = ["t", "x", "y"], F.coalesce("parts", F.lit(1))
+    chunks = every.join(full, on, "left").withColumn("c", F.pmod(F.xxhash64("a", "b"), parts).cast("int"))
+    chunks = chunks.groupBy(*on, "c").agg(F.collect_list(F.struct("a", "b")).alias("held"))
+    asked = tables(sought, radius).join(full, on, "left").withColumn("c", F.explode(F.sequence(F.lit(0), parts - 1)))
+    met = asked.join(chunks, [*on, "c"])
+
+    def shown(t: int) -> Column:
+        """How many of a chunk's are within the radius and in none of the tables before the t-th."""
+
+        def fine(e: Column) -> Column:
+            p, q = e["a"].bitwiseXOR(F.col("a")), e["b"].bitwiseXOR(F.col("b"))
+            near = F.bit_count(p) + F.bit_count(q) <= radius
+            for x, y in masks(radius)[:t]:
+                near = near & ((p.bitwiseAND(F.lit(x)) != 0) | (q.bitwiseAND(F.lit(y)) != 0))
+            return near
+
+        return F.size(F.filter("held", fine))
+
+    n = F.lit(0)
+    for t in range(radius + 1):
+        n = F.when(F.col("t") == t, shown(t)).otherwise(n)
+    # each fingerprint finds itself in the first table, if it is there
+    own = sought.join(prints.select("a", "b").distinct().withColumn("own", F.lit(1)), ["a", "b"], "left")
+    found = met.groupBy("a", "b").agg(F.sum(n).alias("n"))
+    return own.join(found, ["a", "b"], "left").select("a", "b", (F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0))).cast("long").alias("n_near"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(documents(spark, sf_dir))
+    """The contract's columns, and n_near: for documents whose id is divisible by SOUGHT, the number of other fingerprints within RADIUS bits among those of all documents (else null)."""
+    rows = materialise(fingerprints(documents(spark, sf_dir)), "simhash-prints")
+    asked = F.coalesce(F.col("doc_id") % SOUGHT == 0, F.lit(False))
+    near = count_near(rows, rows.filter(asked).select("a", "b").distinct())
+    near = materialise(near.select(F.col("a").alias("na"), F.col("b").alias("nb"), "n_near"), "simhash-near")
+    found = rows.filter(asked).join(near, (F.col("a") == F.col("na")) & (F.col("b") == F.col("nb")))
+    out = lambda df, n: df.select("doc_id", "n_chars", "edited_sha256", as_text("a", "b").alias("fingerprint"), as_text("ea", "eb").alias("edited_fingerprint"), "near_edited", "near_next", n.alias("n_near"))
+    return out(found, F.col("n_near")).unionByName(out(rows.filter(~asked), F.lit(None).cast("long")))

@@ -1,7 +1,7 @@
 """Token counts by a two-tier lookup on the map side, as the tokenizer's own library gives them.
 
-Tier 1 is a broadcast table of pre-token -> length. Its entries are those of the vocabulary that are whole pre-tokens: a byte-pair
-vocabulary lists what was frequent when it was trained, so this table is the frequent head, and its size is bounded by the vocabulary.
+Tier 1 is a broadcast table of pre-token -> length: the ENTRIES pre-tokens that are most frequent in the documents, as counted (on the map
+side first) in a sample of whole texts chosen by hash. The sample only decides which lengths are at hand; counts don't depend on it.
 Tier 2 is a cache in each worker, bounded in entries: a pre-token outside tier 1 is encoded once by the library and remembered. A
 document's count is the sum over its pre-tokens, so no pre-token is ever shuffled. Texts with a special string (an added token), and texts
 with a character on which the library's regular expressions and Python's differ (each character is tried once), go to the library whole.
@@ -9,29 +9,52 @@ with a character on which the library's regular expressions and Python's differ
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from readgrain.llm.common import documents, map_texts
+from readgrain.llm.common import documents, map_texts, slices, task
 
 MAX_TOKENS = 1024
+#: Entries of tier 1, and about how many documents choose them.
+ENTRIES, SAMPLE = 50_000, 2_000
 #: Longer pre-tokens are encoded, not remembered.
 LONGEST_KEY = 128
 #: From so many characters on, pre-tokens are read one by one instead of as a list.
 LONG_TEXT = 1_000_000
 
 
-def frequent_lengths(model: str, pattern: str) -> dict[str, int]:
-    """Tier 1: each vocabulary entry that is one pre-token, with the number of tokens that the library makes of it."""
-    import regex
+def frequent_pieces(docs: DataFrame, pattern: str, entries: int = ENTRIES, sample: int = SAMPLE) -> list[str]:
+    """The most frequent pre-tokens of about `sample` documents, those of equal counts in order."""
+    part = max(1, docs.count() // sample)
+    some = docs.select("text").filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0))
+
+    def run(batches: Iterator) -> Iterator:
+        from collections import Counter
+
+        import pyarrow as pa
+        import regex
+
+        pre = regex.compile(pattern)
+        for batch in batches:
+            for piece in slices(batch, 0):
+                found: Counter = Counter()
+                for t in piece.column(0).to_pylist():
+                    found.update(m.group() for m in pre.finditer(t))
+                names = [p for p in found if len(p) <= LONGEST_KEY]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([found[p] for p in names], pa.int64())], ["piece", "n"])
+
+    counts = some.mapInArrow(task(run), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return [r[0] for r in counts.orderBy(F.desc("n"), "piece").limit(entries).select("piece").collect()]
+
+
+def lengths(model: str, pieces: list[str]) -> dict[str, int]:
+    """Tier 1: the number of tokens that the library makes of each pre-token."""
     from tokenizers import Tokenizer
 
-    lib, whole = Tokenizer.from_str(model), regex.compile(pattern)
-    special = {t.content for t in lib.get_added_tokens_decoder().values()}
-    entries = lib.decode_batch([[i] for i in range(lib.get_vocab_size())], skip_special_tokens=False)
-    entries = sorted({e for e in entries if e and "�" not in e and e not in special and whole.fullmatch(e) and whole.findall(e) == [e]})
-    return dict(zip(entries, (len(x.ids) for x in lib.encode_batch(entries, add_special_tokens=False)), strict=True))
+    lib = Tokenizer.from_str(model)
+    return dict(zip(pieces, (len(x.ids) for x in lib.encode_batch(pieces, add_special_tokens=False)), strict=True))
 
 
 def make_counter(model: str, pattern: str, table: dict[str, int], most: int) -> Callable[[str], int]:
@@ -96,7 +119,8 @@ def count_tokens(docs: DataFrame, model_path: str, pattern: str, columns: list[s
     """
     with open(model_path, encoding="utf-8") as f:
         model = f.read()
-    sent = docs.sparkSession.sparkContext.broadcast((model, frequent_lengths(model, pattern)))
+    # at most ENTRIES pre-tokens of LONGEST_KEY characters
+    sent = docs.sparkSession.sparkContext.broadcast((model, lengths(model, frequent_pieces(docs, pattern))))
 
     def make() -> Callable[[str], tuple]:
         own_model, table = sent.value
