@@ -56,7 +56,7 @@ def bits(k: int, n: Column) -> Column:
         for b, count in ((i, v.bitwiseAND(F.lit(LOW))), (i + 32, F.shiftrightunsigned(v, 32))):
             one = F.when(count * 2 > n, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0))
             out = one if out is None else out.bitwiseOR(one)
-    return out.cast("long")
+    return F.when(n > 0, out).otherwise(0).cast("long")
 
 
 def buckets(docs: DataFrame) -> Column:
