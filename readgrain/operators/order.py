@@ -1,50 +1,36 @@
 """Order statistics over whole tables without one task that sees all rows.
 
-Distinct values are counted first. Their range is cut into cells, by a fixed number of equal parts and then each part by what it holds,
-cell totals are summed up, and a window within a cell gives the number of rows below each value. What reaches the driver is one row per
-part. Percentile ranks, exact quantiles, quantile bins and running totals all follow from that.
+Distinct values are counted first and range-partitioned (Spark samples them for the borders), so each part, a cell, holds about ROWS of
+them however they are distributed. Cell totals are summed up, and a window within a cell gives the number of rows below each value.
+Percentile ranks, exact quantiles, quantile bins and running totals all follow from that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readgrain.storage import materialise
 
-PARTS, ROWS = 512, 4096
-
-
-def _cell(values: DataFrame, value: str) -> Column:
-    """An ascending cell number for a numeric column."""
-    low, high = values.agg(F.min(value), F.max(value)).first()
-    if low is None or low == high:
-        return F.lit(0).cast("long")
-    low, high = float(low), float(high)
-    wide = (high - low) / PARTS
-    v = F.col(value).cast("double")
-    part = F.least(F.floor((v - low) / wide), F.lit(PARTS - 1)).cast("int")
-    found = {r[0]: r[1:] for r in values.groupBy(part.alias("p")).agg(F.count("*"), F.min(value), F.max(value)).collect()}
-    first, starts, steps, at = 0, [], [], []
-    for p in range(PARTS):
-        n, a, b = found.get(p, (0, low, low))
-        n = max(1, -(-n // ROWS))
-        starts.append(float(a))
-        steps.append((float(b) - float(a)) / n or 1.0)
-        at.append(first)
-        first += n + 1
-    # one literal, folded to an array before anything runs
-    pick = lambda xs, kind: F.element_at(F.split(F.lit(",".join(map(repr, xs))), ",").cast(f"array<{kind}>"), part + 1)
-    return pick(at, "bigint") + F.floor((v - pick(starts, "double")) / pick(steps, "double")).cast("long")
+#: Distinct values of a cell, about, and the most cells; of more values each cell has its part.
+ROWS, CELLS = 4096, 20_000
+
+
+def _with_cell(counted: DataFrame, value: str) -> DataFrame:
+    """counted, with an ascending cell number per value."""
+    n = min(CELLS, -(-counted.count() // ROWS))
+    if n <= 1:
+        return counted.withColumn("_cell", F.lit(0))
+    return materialise(counted.repartitionByRange(n, value).withColumn("_cell", F.spark_partition_id()), "cells")
 
 
 def ranked(rows: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """Per group and distinct non-null value: n_rows (with it), n_before (with a smaller one) and n_total (of the group)."""
     kept = rows.select(*groups, F.col(value).alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan(F.col("_v").cast("double")))
     counted = materialise(kept.groupBy(*groups, "_v").agg(F.count("*").alias("n_rows")), "counts")
-    counted = counted.withColumn("_cell", _cell(counted.groupBy("_v").agg(F.sum("n_rows").alias("n_rows")), "_v"))
+    counted = _with_cell(counted, "_v")
     cells = counted.groupBy(*groups, "_cell").agg(F.sum("n_rows").alias("_cn"))
     by = Window.partitionBy(*groups)
     cells = cells.withColumns({"_before": F.coalesce(F.sum("_cn").over(by.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n_total": F.sum("_cn").over(by)})

@@ -16,10 +16,15 @@ def ngrams(ws: Column, n: int) -> Column:
     return F.when(F.size(ws) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(ws, i, n))))
 
 
+def numbered(xs: Column) -> Column:
+    """Each element with how many equal ones came before it, so that no two are equal."""
+    ordered = F.array_sort(xs)
+    return F.transform(ordered, lambda x, i: F.struct(x.alias("x"), (i - F.array_position(ordered, x)).alias("i")))
+
+
 def common(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    size = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.transform(F.array_intersect(a, b), lambda x: F.least(size(a, x), size(b, x))), F.lit(0), lambda s, x: s + x)
+    """Size of the multiset intersection of two arrays: that of the sets of their numbered elements."""
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
 def prf(match: Column, generated: Column, reference: Column) -> dict[str, Column]:

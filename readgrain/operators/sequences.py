@@ -28,6 +28,20 @@ def merge_spans(spans: DataFrame, keys: Sequence[str], gap: int = 1) -> DataFram
     return s.groupBy(*keys, "_id").agg(F.first("type").alias("type"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_merged")).drop("_id")
 
 
+def spans_to_tags(tokens: DataFrame, spans: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
+    """tokens (keys and positions) with a tag: B- and the type where a span starts, I- within it, else O. Of spans that overlap the first to start counts, then the longest.
+
+    Each span is opened to its positions, so the join is by keys and position.
+    """
+    s = spans.filter(F.col("end") > F.col("start")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "type", "start", "end", F.explode(F.sequence("start", F.col("end") - 1)).alias("_p"))
+    s = s.groupBy(*[f"_k{i}" for i in range(len(keys))], "_p").agg(F.min(F.struct("start", (-F.col("end")).alias("e"), "type")).alias("_s"))
+    on = F.col(position) == F.col("_p")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    tag = F.when(F.col("_s").isNull(), "O").otherwise(F.concat(F.when(F.col("_s.start") == F.col(position), "B-").otherwise("I-"), F.col("_s.type")))
+    return tokens.join(s, on, "left").select(*[tokens[c] for c in tokens.columns], tag.alias("tag"))
+
+
 def vote(rows: DataFrame, keys: Sequence[str], order: str, tag: str) -> DataFrame:
     """Per word the most frequent B- tag, else I- tag, else O; of equals the first seen."""
     rank = F.when(F.col(tag).startswith("B-"), 2).when(F.col(tag).startswith("I-"), 1).otherwise(0)

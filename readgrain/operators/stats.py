@@ -226,3 +226,65 @@ def apply_formula(rows: DataFrame, intercept: float, coefficients: dict[str, flo
         m, s = scalers.get(c, (0.0, 1.0))
         score = score + (number(c) - m) / (s or 1.0) * w
     return rows.withColumn(out, score)
+
+
+def pairwise_accuracy(rows: DataFrame, pair: Sequence[str], level: str, value: str, low: str, high: str) -> DataFrame:
+    """One row: pairs with both levels, those whose high level has the higher value, ties, and the share of right ones in per cent (0 without pairs). Of several rows of a level the mean counts; null values are left out."""
+    of = lambda k: F.avg(F.when(F.col(level) == k, number(value)))
+    p = rows.groupBy(*pair).agg(of(low).alias("_a"), of(high).alias("_b")).filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
+    s = p.agg(F.count("*").alias("total_pairs"), F.count_if(F.col("_b") > F.col("_a")).alias("correct_pairs"), F.count_if(F.col("_b") == F.col("_a")).alias("tied_pairs"))
+    return s.withColumn("pairwise_accuracy", F.coalesce(F.try_divide(F.col("correct_pairs") * F.lit(100.0), F.col("total_pairs")), F.lit(0.0)))
+
+
+def missing_report(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per column the numbers of rows and of null or not-a-number ones, and their share in per cent, from one pass."""
+    kinds = dict(rows.dtypes)
+    none = lambda c: F.col(c).isNull() | (F.isnan(c) if kinds[c] in ("double", "float") else F.lit(False))
+    one = rows.agg(F.count("*").alias("_n"), *[F.count_if(none(c)).alias(f"_m{i}") for i, c in enumerate(columns)])
+    long = one.select("_n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_m{i}").alias("n_missing")) for i, c in enumerate(columns)])).alias("x"))
+    return long.select("x.column", F.col("_n").alias("n_rows"), "x.n_missing", F.coalesce(F.try_divide(F.col("x.n_missing") * F.lit(100.0), F.col("_n")), F.lit(0.0)).alias("percent_missing"))
+
+
+def normality(rows: DataFrame, groups: Sequence[str], value: str = "value") -> DataFrame:
+    """Per group n, D'Agostino and Pearson's K2 (of skewness and kurtosis) and its p-value, exp(-K2 / 2); both null below 8 rows or without variance."""
+    x = number(value)
+    g = rows.filter(x.isNotNull()).groupBy(*groups).agg(F.count("*").cast("double").alias("n"), F.skewness(x).alias("_s"), (F.kurtosis(x) + 3).alias("_k"))
+    n = F.col("n")
+    y = F.col("_s") * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
+    beta = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = -1 + F.sqrt(2 * (beta - 1))
+    a = F.sqrt(2.0 / (w2 - 1))
+    z1 = F.asinh(y / a) / F.sqrt(0.5 * F.log(w2))
+    e = 3.0 * (n - 1) / (n + 1)
+    v = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
+    b = 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    c = 6.0 + 8.0 / b * (2.0 / b + F.sqrt(1 + 4.0 / (b * b)))
+    d = 1 + (F.col("_k") - e) / F.sqrt(v) * F.sqrt(2.0 / (c - 4))
+    z2 = (1 - 2.0 / (9 * c) - F.signum(d) * F.cbrt((1 - 2.0 / c) / F.abs(d))) / F.sqrt(2.0 / (9 * c))
+    k2 = F.when((n >= 8) & F.col("_s").isNotNull() & ~F.isnan("_s"), z1 * z1 + z2 * z2)
+    return g.select(*groups, n.cast("long").alias("n"), k2.alias("k2"), F.exp(-k2 / 2).alias("p_normal"))
+
+
+def two_sample_test(rows: DataFrame, label: str, columns: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """Per metric the statistic of Welch's t (if normality isn't rejected in either class) or of Mann and Whitney's U of class 0, and the test's name."""
+    long = long_form(rows, [label], columns)
+    of = lambda k, c: F.max(F.when(F.col(label) == k, F.col(c)))
+    p = normality(long, ["metric", label]).groupBy("metric").agg(of(0, "p_normal").alias("p0"), of(1, "p_normal").alias("p1"))
+    m = moments(long, ["metric", label]).groupBy("metric").agg(*[of(k, c).alias(f"{c}{k}") for k in (0, 1) for c in ("n", "mean", "var")])
+    both = m.join(p, "metric").join(auc(rows, label, columns).select("metric", "auc"), "metric")
+    welch = (F.col("mean0") - F.col("mean1")) / F.sqrt(F.col("var0") / F.col("n0") + F.col("var1") / F.col("n1"))
+    u = (1 - F.col("auc")) * F.col("n0") * F.col("n1")
+    normal = F.coalesce((F.col("p0") > alpha) & (F.col("p1") > alpha), F.lit(False))
+    return both.select("metric", F.when(normal, welch).otherwise(u).alias("statistic"), F.when(normal, "ttest").otherwise("mann_whitney_u").alias("test_name"))
+
+
+def mutual_information(rows: DataFrame, label: str, columns: Sequence[str], bins: int = 100) -> DataFrame:
+    """Per metric the mutual information (nats) of its bin (equal width over the range, the last closed) and the label: a plug-in estimate, where the surveyed one looks at nearest neighbours with random ties."""
+    long = long_form(rows, [label], columns).filter(F.col("value").isNotNull() & F.col(label).isNotNull())
+    ends = long.groupBy("metric").agg(F.min("value").alias("_a"), F.max("value").alias("_b"), F.count("*").alias("_n"))
+    width = (F.col("_b") - F.col("_a")) / bins
+    place = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("_a")) / width), F.lit(bins - 1))).otherwise(0)
+    # a row per metric on one side, bins times labels rows per metric on the other
+    cells = long.join(F.broadcast(ends), "metric").groupBy("metric", "_n", place.alias("_c"), F.col(label).alias("_y")).agg(F.count("*").alias("k"))
+    sums = cells.withColumns({"kc": F.sum("k").over(Window.partitionBy("metric", "_c")), "ky": F.sum("k").over(Window.partitionBy("metric", "_y"))})
+    return sums.groupBy("metric").agg(F.sum(F.col("k") / F.col("_n") * F.log(F.col("k") * F.col("_n") / (F.col("kc") * F.col("ky")))).alias("mutual_information"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readgrain.functions import text as T
-from readgrain.operators import learn, pairs, reshape, rules, sequences, stats
+from readgrain.operators import features, learn, pairs, reshape, rules, sequences, stats
 from readgrain.operators import order as O
 from readgrain.sources.readers import table
 from readgrain.storage import materialise, shared_dir
@@ -105,14 +105,15 @@ def clean_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROBLEM_SQL = r"regexp_matches(coalesce({}, ''), '(?i)CONTENT_MISMATCH|CONTENT MISMATCH|\[CONTENT_MISMATCH\]|content_mismatch|content mismatch|^\[.+\]$|^Unanswerable$|^No answers$|^[A-E]$|^\w{{1,3}}$')"
 
 
-@query(f"""WITH b AS (SELECT DISTINCT source FROM documents WHERE n_chars < 8 AND {PROBLEM_SQL.format("substr(text, 1, 3)")}),
+@query(f"""WITH b AS (SELECT DISTINCT source FROM documents WHERE {PROBLEM_SQL.format("text")}),
 p AS (SELECT doc_id, source, {PROBLEM_SQL.format("text")} AS bad FROM documents)
-SELECT source, count(*) AS n, CAST(count(*) FILTER (bad) AS BIGINT) AS n_bad, count(*) FILTER (NOT bad AND source NOT IN (SELECT source FROM b)) AS n_kept FROM p GROUP BY source""")
+SELECT source, count(*) AS n, CAST(count(*) FILTER (bad) AS BIGINT) AS n_bad, count(*) FILTER (source NOT IN (SELECT source FROM b)) AS n_kept FROM p GROUP BY source""")
 def placeholder_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    bad_source = docs.filter((F.col("n_chars") < 8) & T.is_problem(F.substring("text", 1, 3))).select("source").distinct().withColumn("_b", F.lit(True))
-    p = docs.select("doc_id", "source", T.is_problem(F.col("text")).alias("bad")).join(bad_source, "source", "left")
-    return p.groupBy("source").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad") & F.col("_b").isNull()).alias("n_kept"))
+    # a source is a sample, and its short documents are the originals
+    kept = rules.drop_problem_samples(docs, ["source"], "text", F.col("n_chars") < 8).groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n_kept"))
+    p = docs.groupBy("source").agg(F.count("*").alias("n"), F.count_if(T.is_problem(F.col("text"))).alias("n_bad"))
+    return p.join(kept, F.col("source") == F.col("s"), "left").select("source", "n", "n_bad", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
 
 
 @query(f"SELECT page_id, {COLLAPSE.format(chr(39).join(['regexp_replace(html, ', '<[^>]*>', ', ', ' ', ', ', 'g', ')']))} AS text FROM pages")
@@ -452,6 +453,47 @@ def auc_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decimals(stats.auc(_labelled(spark, sf_dir), "y", METRICS))
 
 
+@query("""WITH p AS (SELECT l_orderkey, avg(l_extendedprice) FILTER (l_returnflag = 'N') AS a, avg(l_extendedprice) FILTER (l_returnflag = 'R') AS b FROM lineitem GROUP BY l_orderkey)
+SELECT count(*) AS total_pairs, count(*) FILTER (b > a) AS correct_pairs, count(*) FILTER (b = a) AS tied_pairs, round(100.0 * count(*) FILTER (b > a) / count(*), 6) AS pairwise_accuracy FROM p WHERE a IS NOT NULL AND b IS NOT NULL""")
+def pairwise_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decimals(stats.pairwise_accuracy(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_returnflag", "l_extendedprice", "N", "R"))
+
+
+@query("""WITH j AS (SELECT d.lang, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)),
+r AS (SELECT unnest(['lang', 'source', 'quality', 'toxic']) AS "column", unnest([count(*) - count(lang), count(*) - count(source), count(*) - count(quality), count(*) - count(toxic)]) AS n_missing, count(*) AS n_rows FROM j)
+SELECT "column", n_rows, n_missing, round(100.0 * n_missing / n_rows, 6) AS percent_missing FROM r""")
+def missing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return _decimals(stats.missing_report(j, ["lang", "source", "quality", "toxic"]))
+
+
+@query(f"""WITH {LABELLED}, m AS (SELECT metric, y, CAST(count(*) AS DOUBLE) AS n, avg(v) AS u, var_pop(v) AS s FROM long GROUP BY metric, y),
+c AS (SELECT metric, y, n, avg(pow(v - u, 3)) / pow(s, 1.5) AS g, avg(pow(v - u, 4)) / pow(s, 2) AS k FROM long JOIN m USING (metric, y) GROUP BY metric, y, n, u, s),
+a AS (SELECT *, g * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS t, sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w,
+ 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS b FROM c),
+d AS (SELECT *, 6 + 8 / b * (2 / b + sqrt(1 + 4 / (b * b))) AS h FROM a),
+e AS (SELECT *, 1 + (k - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) * sqrt(2 / (h - 4)) AS f FROM d),
+z AS (SELECT metric, y, n, pow(asinh(t / sqrt(2 / (w - 1))) / sqrt(0.5 * ln(w)), 2) + pow((1 - 2 / (9 * h) - sign(f) * cbrt((1 - 2 / h) / abs(f))) / sqrt(2 / (9 * h)), 2) AS k2 FROM e)
+SELECT metric, y, CAST(n AS BIGINT) AS n, round(k2, 4) AS k2, round(exp(-k2 / 2), 6) AS p_normal FROM z WHERE y IS NOT NULL""")
+def normality_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = stats.long_form(_labelled(spark, sf_dir).filter("y IS NOT NULL"), ["y"], METRICS)
+    return stats.normality(long, ["metric", "y"]).select("metric", "y", "n", F.round("k2", 4).alias("k2"), F.round("p_normal", 6).alias("p_normal"))
+
+
+@query(f"""WITH {LABELLED}, r AS (SELECT metric, y, v, rank() OVER (PARTITION BY metric ORDER BY v) + (count(*) OVER (PARTITION BY metric, v) - 1) / 2.0 AS r FROM long),
+s AS (SELECT metric, sum(r) FILTER (y = 0) AS s, count(*) FILTER (y = 0) AS p FROM r GROUP BY metric) SELECT metric, round(s - p * (p + 1) / 2.0, 4) AS statistic, 'mann_whitney_u' AS test_name FROM s""")
+def two_sample_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of texts are far from normal, so the rank test is what is chosen here; tests/ has the other branch."""
+    return stats.two_sample_test(_labelled(spark, sf_dir), "y", METRICS).withColumn("statistic", F.round("statistic", 4))
+
+
+@query(f"""WITH {LABELLED}, e AS (SELECT metric, min(v) AS a, (max(v) - min(v)) / 100 AS w, count(*) AS n FROM long GROUP BY metric),
+c AS (SELECT metric, n, y, least(floor((v - a) / w), 99) AS c, count(*) AS k FROM long JOIN e USING (metric) GROUP BY ALL),
+s AS (SELECT *, sum(k) OVER (PARTITION BY metric, c) AS kc, sum(k) OVER (PARTITION BY metric, y) AS ky FROM c) SELECT metric, round(sum(k / n * ln(k * n / (kc * ky))), 6) AS mutual_information FROM s GROUP BY metric""")
+def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decimals(stats.mutual_information(_labelled(spark, sf_dir), "y", METRICS))
+
+
 @query(f"""WITH {LABELLED}, v AS (SELECT n_chars AS threshold, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS q FROM l GROUP BY n_chars),
 c AS (SELECT threshold, sum(p) OVER w / sum(p) OVER () - sum(q) OVER w / sum(q) OVER () AS j FROM v WINDOW w AS (ORDER BY threshold DESC))
 SELECT threshold, round(j, 6) AS j FROM c ORDER BY round(j, 12) DESC, threshold DESC LIMIT 1""")
@@ -537,6 +579,36 @@ def bio_span_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.merge_spans(sequences.bio_spans(e, ["user_id"], "event_id", "tag"), ["user_id"]).select("user_id", "type", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "n_merged")
 
 
+@query(f"""WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p, {TAGS} AS t FROM events),
+k AS (SELECT *, CASE WHEN t <> 'O' THEN substr(t, 3) END AS k FROM t), l AS (SELECT *, lag(k) OVER (PARTITION BY user_id ORDER BY p) AS lk FROM k)
+SELECT user_id, CAST(p AS INTEGER) AS position, CASE WHEN k IS NULL THEN 'O' WHEN t LIKE 'B-%' OR lk IS NULL OR lk <> k THEN 'B-' || k ELSE 'I-' || k END AS tag FROM l""")
+def tags_from_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags to spans and back: what comes out are the tags, made well-formed."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.expr(TAGS).alias("tag"))
+    spans = sequences.bio_spans(e, ["user_id"], "event_id", "tag")
+    by = Window.partitionBy("user_id").orderBy("event_id")
+    places = e.select("user_id", (F.row_number().over(by) - 1).alias("position"))
+    return sequences.spans_to_tags(places, spans, ["user_id"], "position")
+
+
+@query(f"""WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p, {TAGS} AS t FROM events),
+s AS (SELECT user_id, p, substr(t, 3) AS k, substr(t, 1, 1) = 'B' AS b FROM t WHERE t <> 'O'), n AS (SELECT count(*) AS a, count(*) FILTER (b) AS m FROM s)
+SELECT 1.0 AS precision, round(m / a, 6) AS recall, round(2.0 * m / (a + m), 6) AS f1 FROM n""")
+def entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all tagged events as spans of one token, those that only a B- tag would give."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.expr(TAGS).alias("tag")).filter("tag <> 'O'")
+    s = e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("start"), (F.col("event_id") + 1).alias("end"), F.substring("tag", 3, 100).alias("type"), "tag")
+    return _decimals(features.entity_scores(s, s.filter("tag LIKE 'B-%'")))
+
+
+@query("""WITH g AS (SELECT quality AS gold, CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END AS guess, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL),
+l AS (SELECT DISTINCT gold AS label FROM g UNION SELECT DISTINCT guess FROM g), x AS (SELECT label, (SELECT sum(n) FROM g WHERE gold = label) AS a, (SELECT sum(n) FROM g WHERE guess = label) AS b, coalesce((SELECT sum(n) FROM g WHERE gold = label AND guess = label), 0) AS h FROM l)
+SELECT label, round(h / b, 6) AS precision, round(h / a, 6) AS recall, round(2 * h / (a + b), 6) AS f1 FROM x""")
+def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("quality").cast("int").alias("gold"), F.when(F.col("n_chars") >= 1000, 1).otherwise(0).alias("guess"))
+    return _decimals(features.label_scores(d, "gold", "guess"), "label")
+
+
 COS = "list_sum(list_transform(list_zip({0}, {1}), lambda z: CAST(z[1] AS DOUBLE) * z[2]))"
 
 
