@@ -1,6 +1,9 @@
 """Hand-computed expectations for the readability operators."""
 
+import collections
 import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +164,49 @@ def test_trees(spark):
     assert sorted((r["text_type"], r["text"]) for r in rows) == [("original", "orig"), ("variant", "a")]
     v = df.select(*[c.alias(k) for k, c in reshape.valid_tree().items()]).first()
     assert v["usable"] and v["flagged"]
+
+
+def test_ranks_of_skewed_values(spark):
+    """Cells hold about as many values each, however these are distributed, and ranks are those of sorting."""
+    values = [math.exp(i / 2000) for i in range(20000)] + [1e18, float("inf"), float("-inf"), 1.0, 1.0]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    counted = rows.groupBy(F.col("v").alias("_v")).agg(F.count("*").alias("n_rows"))
+    sizes = [r["count"] for r in order._with_cell(counted, "_v").groupBy("_cell").count().collect()]
+    assert len(sizes) > 1 and max(sizes) <= 2 * order.ROWS
+    got = {r["v"]: (r["n_before"], r["n_rows"], r["n_total"]) for r in order.ranked(rows, "v").collect()}
+    want, before = {}, 0
+    for v, n in sorted(collections.Counter(values).items()):
+        want[v] = (before, n, len(values))
+        before += n
+    assert got == want
+
+
+def test_two_samples(spark):
+    """Normal classes get Welch's t, others the rank statistic, each against plain Python."""
+    r = random.Random(5)
+    rows = [(k % 2, r.gauss(k % 2, 1), r.expovariate(1) ** 3 + k % 2) for k in range(400)]
+    got = {x["metric"]: (x["statistic"], x["test_name"]) for x in stats.two_sample_test(spark.createDataFrame(rows, "y int, a double, b double"), "y", ["a", "b"]).collect()}
+    a = [[x[1] for x in rows if x[0] == k] for k in (0, 1)]
+    t = (statistics.mean(a[0]) - statistics.mean(a[1])) / sum(statistics.variance(v) / len(v) for v in a) ** 0.5
+    u = sum((x > y) + 0.5 * (x == y) for k, _, x in rows if k == 0 for j, _, y in rows if j == 1)
+    assert got["a"][1] == "ttest" and abs(got["a"][0] - t) < 1e-9 and got["b"] == ("mann_whitney_u", u)
+
+
+def test_multiset_intersection(spark):
+    r = random.Random(2)
+    rows = [([r.choice("abc") for _ in range(r.randrange(8))], [r.choice("abcd") for _ in range(r.randrange(8))]) for _ in range(200)]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", pairs.common(F.col("a"), F.col("b")).alias("n")).collect()
+    assert all(x["n"] == sum((collections.Counter(x["a"]) & collections.Counter(x["b"])).values()) for x in got)
+
+
+def test_stream_without_repeated_keys(spark, tmp_path):
+    """A key that comes again in another file, or after a restart, stays one row."""
+    from readgrain.streaming.annotate import annotate_stream
+
+    source, sink = f"{tmp_path}/in", f"{tmp_path}/out"
+    run = lambda: annotate_stream(spark, source, "k long, t string", lambda b: b.withColumn("n", F.length("t")), sink, f"{tmp_path}/check", ["k"]).awaitTermination()
+    for part in ([(1, "a"), (2, "bb")], [(2, "again"), (3, "ccc"), (3, "ccc")], [(1, "x"), (4, "d")]):
+        spark.createDataFrame(part, "k long, t string").write.mode("append").parquet(source)
+        run()
+    rows = spark.read.parquet(sink).collect()
+    assert sorted((r["k"], r["n"]) for r in rows) == [(1, 1), (2, 2), (3, 3), (4, 1)]
