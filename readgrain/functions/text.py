@@ -1,7 +1,7 @@
 """Scalar text functions as column expressions.
 
-Words are runs of ASCII letters (with inner apostrophes), sentences are what full stops, question and exclamation marks end. This is an
-annotator of its own; every formula below takes its counts as columns, so another annotator's counts can be put in.
+Words are runs of letters and digits of any script (with inner apostrophes), sentences are what full stops, question and exclamation marks
+end, syllables are runs of Latin vowels. This is an annotator of its own; every formula below takes its counts as columns, so another annotator's counts can be put in.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ ARTEFACTS = (
 MISMATCH = ("CONTENT_MISMATCH", "CONTENT MISMATCH", "[CONTENT_MISMATCH]", "content_mismatch", "content mismatch")
 PLACEHOLDERS = (r"^\[.+\]$", r"^Unanswerable$", r"^No answers$", r"^[A-E]$", r"^\w{1,3}$")
 
-WORD = "[A-Za-z]+(?:'[A-Za-z]+)*"
+WORD = r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}\p{N}]+)*"
+VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿAEIOUYÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØŒÙÚÛÜÝŸ"
 BLANK = r"[ \t\n\x0B\f\r]+"
 
 
@@ -85,19 +86,20 @@ def count_matches(t: Column, pattern: str) -> Column:
 
 
 def with_counts(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with n_words, n_sentences, n_letters, n_syllables, n_poly (words of three syllables or more), n_mono and n_mini (three letters at most).
+    """rows with n_words, n_sentences, n_letters, n_word_chars (all characters of words), n_syllables, n_poly (words of three syllables or more), n_mono and n_mini (three characters at most).
 
     A syllable is a run of vowels; every word has one at least. A text with words has one sentence at least.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = rows.withColumn("_words", words(F.col(text)))
-    rows = rows.withColumn("_syllables", F.transform("_words", lambda w: F.greatest(F.lit(1), F.regexp_count(w, F.lit("[aeiouyAEIOUY]+")))))
+    rows = rows.withColumn("_syllables", F.transform("_words", lambda w: F.greatest(F.lit(1), F.regexp_count(w, F.lit(f"[{VOWELS}]+")))))
     n = F.size("_words")
     return rows.withColumns(
         {
             "n_words": n.cast("long"),
             "n_sentences": F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), count_matches(t, "[.!?]+"))).cast("long"),
-            "n_letters": F.length(F.regexp_replace(t, "[^A-Za-z]+", "")).cast("long"),
+            "n_letters": F.length(F.regexp_replace(t, r"\P{L}+", "")).cast("long"),
+            "n_word_chars": F.aggregate("_words", F.lit(0), lambda a, w: a + F.length(w)).cast("long"),
             "n_syllables": F.aggregate("_syllables", F.lit(0), lambda a, x: a + x).cast("long"),
             "n_poly": F.size(F.filter("_syllables", lambda x: x >= 3)).cast("long"),
             "n_mono": F.size(F.filter("_syllables", lambda x: x == 1)).cast("long"),
@@ -113,19 +115,19 @@ def _guard(value: Column) -> Column:
 def formulas() -> dict[str, Column]:
     """Readability formulas over the columns of with_counts(); 0 for a text without words."""
     w, s = F.greatest(F.col("n_words"), F.lit(1)).cast("double"), F.greatest(F.col("n_sentences"), F.lit(1)).cast("double")
-    letters, poly, mono, syl, mini = (F.col(c).cast("double") for c in ("n_letters", "n_poly", "n_mono", "n_syllables", "n_mini"))
+    letters, chars, poly, mono, syl, mini = (F.col(c).cast("double") for c in ("n_letters", "n_word_chars", "n_poly", "n_mono", "n_syllables", "n_mini"))
     linsear = (w - poly + poly * 3) / s
     return {
         "flesch_reading_ease": _guard(206.835 - 1.015 * (w / s) - 84.6 * (syl / w)),
         "flesch_kincaid_grade": _guard(0.39 * (w / s) + 11.8 * (syl / w) - 15.59),
         "smog_index": _guard(1.043 * F.sqrt(poly * 30 / s) + 3.1291),
         "coleman_liau_index": _guard(0.0588 * (letters / w * 100) - 0.296 * (s / w * 100) - 15.8),
-        "automated_readability_index": _guard(4.71 * (letters / w) + 0.5 * (w / s) - 21.43),
+        "automated_readability_index": _guard(4.71 * (chars / w) + 0.5 * (w / s) - 21.43),
         "linsear_write_formula": _guard(F.when(linsear > 20, linsear / 2).otherwise(linsear / 2 - 2)),
         "gunning_fog": _guard(0.4 * (w / s + 100 * (poly / w))),
         "mcalpine_eflaw": _guard((w + mini) / s),
         "forcast": _guard(F.greatest(F.lit(0.0), 20 - mono / w * 15)),
-        "avg_word_length": _guard(letters / w),
+        "avg_word_length": _guard(chars / w),
         "avg_sentence_length": _guard(w / s),
         "avg_syllables_per_word": _guard(syl / w),
         "percent_polysyllabic_words": _guard(poly / w * 100),

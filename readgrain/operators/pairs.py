@@ -107,3 +107,27 @@ def histogram_targets(scores: Column, levels: int = 5) -> Column:
 
 def expected_score(weights: Column) -> Column:
     return F.aggregate(F.transform(weights, lambda w, i: w * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+
+
+def best_match(rows: DataFrame, pair: str, source: str, claim: str, forward: str, backward: str) -> DataFrame:
+    """Per pair precision (mean over claims of the best forward score), recall (mean over sources of the best backward score) and F1; scores below 0 count 0.
+
+    rows has a row per source and claim of a pair; the maxima are combined on the map side.
+    """
+    best = lambda at, score: rows.groupBy(pair, at).agg(F.greatest(F.coalesce(F.max(score), F.lit(0.0)), F.lit(0.0)).alias("_b")).groupBy(pair)
+    p = best(claim, forward).agg(F.avg("_b").alias("precision"))
+    r = best(source, backward).agg(F.avg("_b").alias("recall"))
+    return p.join(r, pair).withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+
+
+def best_chain(scores: Column) -> Column:
+    """Of a matrix (array of rows per source, each an array of scores per claim) the best sum of one score a source, at claims that never go back, and sources
+    left out where that is better, over the number of sources; 0 for an empty matrix."""
+
+    def row(before: Column, ms: Column) -> Column:
+        first = F.array(F.lit(0.0))
+        cells = F.zip_with(F.zip_with(F.slice(before, 1, F.size(ms)), F.slice(before, 2, F.size(ms)), lambda a, b: F.greatest(a, b)), ms, lambda a, m: a + m.cast("double"))
+        return F.aggregate(cells, first, lambda acc, c: F.array_append(acc, F.greatest(c, F.element_at(acc, -1))))
+
+    start = F.array_repeat(F.lit(0.0), F.size(scores[0]) + 1)
+    return F.when(F.coalesce(F.size(scores), F.lit(0)) > 0, F.element_at(F.aggregate(scores, start, row), -1) / F.size(scores)).otherwise(0.0)

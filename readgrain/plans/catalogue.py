@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readgrain.functions import text as T
-from readgrain.operators import features, learn, pairs, reshape, rules, sequences, stats
+from readgrain.operators import corpus, documents, evaluate, features, learn, merge, pairs, reshape, rules, sequences, stats
 from readgrain.operators import order as O
 from readgrain.sources.readers import table
 from readgrain.storage import materialise, shared_dir
@@ -31,13 +31,14 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[A-Za-z]+(?:''[A-Za-z]+)*')"
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}\p{N}]+(?:[''’][\p{L}\p{M}\p{N}]+)*')"
 COUNTS_SQL = rf"""
 t AS (SELECT *, {WORDS_SQL} AS ws FROM documents),
-u AS (SELECT *, list_transform(ws, lambda w: greatest(1, len(regexp_extract_all(w, '[aeiouyAEIOUY]+')))) AS sy FROM t),
+u AS (SELECT *, list_transform(ws, lambda w: greatest(1, len(regexp_extract_all(w, '[{T.VOWELS}]+')))) AS sy FROM t),
 c AS (SELECT doc_id, source, lang, CAST(len(ws) AS BIGINT) AS n_words,
   CAST(CASE WHEN len(ws) = 0 THEN 0 ELSE greatest(1, len(regexp_extract_all(text, '[.!?]+'))) END AS BIGINT) AS n_sentences,
-  CAST(length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS BIGINT) AS n_letters,
+  CAST(length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) AS BIGINT) AS n_letters,
+  CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS n_word_chars,
   CAST(coalesce(list_sum(sy), 0) AS BIGINT) AS n_syllables,
   CAST(len(list_filter(sy, lambda x: x >= 3)) AS BIGINT) AS n_poly, CAST(len(list_filter(sy, lambda x: x = 1)) AS BIGINT) AS n_mono,
   CAST(len(list_filter(ws, lambda w: length(w) <= 3)) AS BIGINT) AS n_mini FROM u),
@@ -47,12 +48,12 @@ f AS (SELECT doc_id, source, n_words, n_sentences,
   CASE WHEN none THEN 0.0 ELSE 0.39 * (w / s) + 11.8 * (n_syllables / w) - 15.59 END AS flesch_kincaid_grade,
   CASE WHEN none THEN 0.0 ELSE 1.043 * sqrt(CAST(n_poly AS DOUBLE) * 30 / s) + 3.1291 END AS smog_index,
   CASE WHEN none THEN 0.0 ELSE 0.0588 * (n_letters / w * 100) - 0.296 * (s / w * 100) - 15.8 END AS coleman_liau_index,
-  CASE WHEN none THEN 0.0 ELSE 4.71 * (n_letters / w) + 0.5 * (w / s) - 21.43 END AS automated_readability_index,
+  CASE WHEN none THEN 0.0 ELSE 4.71 * (n_word_chars / w) + 0.5 * (w / s) - 21.43 END AS automated_readability_index,
   CASE WHEN none THEN 0.0 WHEN lin > 20 THEN lin / 2 ELSE lin / 2 - 2 END AS linsear_write_formula,
   CASE WHEN none THEN 0.0 ELSE 0.4 * (w / s + 100 * (n_poly / w)) END AS gunning_fog,
   CASE WHEN none THEN 0.0 ELSE (w + n_mini) / s END AS mcalpine_eflaw,
   CASE WHEN none THEN 0.0 ELSE greatest(0.0, 20 - n_mono / w * 15) END AS forcast,
-  CASE WHEN none THEN 0.0 ELSE n_letters / w END AS avg_word_length,
+  CASE WHEN none THEN 0.0 ELSE n_word_chars / w END AS avg_word_length,
   CASE WHEN none THEN 0.0 ELSE w / s END AS avg_sentence_length,
   CASE WHEN none THEN 0.0 ELSE n_syllables / w END AS avg_syllables_per_word,
   CASE WHEN none THEN 0.0 ELSE n_poly / w * 100 END AS percent_polysyllabic_words FROM d)"""
@@ -152,7 +153,7 @@ def length_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.join(O.nth(w, "n", [0.5], ["source"]).withColumnRenamed("v0", "median_words"), "source")
 
 
-@query(f"WITH {COUNTS_SQL} SELECT doc_id, n_words, n_sentences, n_letters, n_syllables, n_poly, n_mono, n_mini FROM c")
+@query(f"WITH {COUNTS_SQL} SELECT doc_id, n_words, n_sentences, n_letters, n_word_chars, n_syllables, n_poly, n_mono, n_mini FROM c")
 def text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.with_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -710,6 +711,146 @@ def softmax_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("user_id", r6(pairs.expected_score(F.col("t"))).alias("expected"), r6(F.col("t")[0]).alias("p1"))
 
 
+# merged runs and judges, texts as tables, evaluation
+
+WRITES = "SELECT user_id, event_id, CASE WHEN event_id % 7 = 0 THEN [event_type] ELSE [event_type, 'k' || CAST(event_id % 3 AS VARCHAR)] END AS path FROM events"
+
+
+@query(f"""WITH w AS ({WRITES}), l AS (SELECT user_id, path, max(event_id) AS event_id FROM w GROUP BY ALL)
+SELECT user_id, array_to_string(path, '/') AS path, event_id FROM l WHERE NOT EXISTS (SELECT 1 FROM l m WHERE m.user_id = l.user_id AND len(m.path) = 1 AND len(l.path) = 2 AND m.path[1] = l.path[1] AND m.event_id > l.event_id)""")
+def metric_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 7 == 0, F.array("event_type")).otherwise(F.array(F.col("event_type"), F.concat(F.lit("k"), (F.col("event_id") % 3).cast("string")))).alias("path"))
+    return merge.write_paths(e, ["user_id"], "path", "event_id").select("user_id", F.concat_ws("/", "path").alias("path"), "event_id")
+
+
+@query("""WITH j AS (SELECT event_type AS dataset, 'm' || CAST(user_id % 3 AS VARCHAR) AS judge, event_id % 1000 AS position, CASE WHEN event_id % 2 = 0 THEN 'simple' ELSE 'expert' END AS kind, min(value) AS v FROM events GROUP BY ALL),
+n AS (SELECT dataset, count(DISTINCT judge) AS n FROM j GROUP BY dataset)
+SELECT dataset, position, kind, round(avg(v), 6) AS overall, round(avg(v) FILTER (judge = 'm1'), 6) AS of_one FROM j JOIN n USING (dataset) GROUP BY dataset, position, kind, n HAVING count(*) = n""")
+def judges_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("dataset"), F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("judge"), (F.col("event_id") % 1000).alias("position"), F.when(F.col("event_id") % 2 == 0, "simple").otherwise("expert").alias("kind"), "value")
+    a = merge.aligned_judges(e, "dataset", "judge", "position", "kind", ["value"])
+    mean = lambda s: r6(merge.or_zero_mean(F.transform(s, lambda x: x["scores"]["value"])))
+    return a.select("dataset", "position", "kind", mean(F.col("scores")).alias("overall"), mean(merge.of_judges(F.col("scores"), ["m1"])).alias("of_one"))
+
+
+@query("""SELECT c_custkey, array_to_string(CASE WHEN n <= 0 THEN [] WHEN n <= 5 THEN range(1, n + 1) ELSE list_transform(list_sort(list_transform(range(0, n), lambda i: {'k': md5(CAST(c_custkey AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 'l': 1 + i % 5})), lambda x: x.l) END, ',') AS levels
+FROM (SELECT c_custkey, CAST(c_custkey % 12 AS INTEGER) AS n FROM customer)""")
+def variant_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 12).cast("int").alias("n"))
+    return c.select("c_custkey", F.concat_ws(",", merge.complexity_levels(F.col("n"), F.col("c_custkey")).cast("array<string>")).alias("levels"))
+
+
+@query(f"""WITH t AS (SELECT lower(unnest({WORDS_SQL})) AS term FROM documents), c AS (SELECT term, count(*) AS n FROM t GROUP BY term), m AS (SELECT sum(n) AS total, count(*) AS kinds FROM c)
+SELECT term, n, round(-ln((n + 1) / (total + kinds)), 6) AS ic FROM (SELECT * FROM c ORDER BY n DESC, term LIMIT 100), m""")
+def corpus_stats_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a corpus merged from two halves: the 100 most frequent terms (the store's feature)."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("term"))
+    m = materialise(corpus.merge_counts(*[corpus.term_counts(t.filter(F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False)) == half)) for half in (True, False)]), "corpus")
+    top = corpus.totals(m).select("total_terms", "unique_terms", F.explode("top_terms").alias("x"))
+    return top.select("x.term", "x.n", r6(corpus.information_content(F.col("x.n"), F.col("total_terms"), F.col("unique_terms"))).alias("ic"))
+
+
+SENTENCES = r"""p AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\n+'), lambda s: trim(s) <> '') AS ps FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id, unnest(ps) AS p, unnest(range(0, len(ps))) AS paragraph FROM p),
+r AS (SELECT doc_id, paragraph, list_filter(string_split(regexp_replace(p, '([.!?])[ \t\r]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '') AS ss FROM q),
+s AS (SELECT doc_id, paragraph, unnest(ss) AS text, unnest(range(0, len(ss))) AS sentence FROM r),
+w AS (SELECT doc_id, paragraph, sentence, regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+(?:[''’][\p{L}\p{M}\p{N}]+)*|[^ \t\n\f\r]') AS ts FROM s)"""
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph, CAST(sentence AS INTEGER) AS sentence, CAST(len(ts) AS BIGINT) AS n_tokens, array_to_string(ts, ' ') AS tokens FROM w WHERE len(ts) > 0")
+def sentence_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = documents.token_table(documents.sentence_table(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    g = t.groupBy("doc_id", "paragraph", "sentence").agg(F.count("*").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("token", "text"))).alias("x"))
+    return g.select("doc_id", "paragraph", "sentence", "n_tokens", F.concat_ws(" ", F.transform("x", lambda x: x["text"])).alias("tokens"))
+
+
+@query(f"""WITH {SENTENCES}, k AS (SELECT doc_id, paragraph, sentence, CAST(len(list_filter(ts, lambda t: length(t) >= 9)) AS BIGINT) AS n FROM w)
+SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph, CAST(row_number() OVER (PARTITION BY doc_id, paragraph ORDER BY sentence) - 1 AS INTEGER) AS sentence, n FROM k WHERE n > 0""")
+def tokens_of_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = documents.token_table(documents.sentence_table(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    v = documents.of_pos(t.withColumn("upos", F.when(F.length("text") >= 9, "VERB").otherwise("X")), ["VERB"])
+    return documents.tokens_by_sentence(v).select("doc_id", "paragraph", F.col("sentence").cast("int").alias("sentence"), F.size("tokens").cast("long").alias("n"))
+
+
+VECTORS = "v AS (SELECT label AS doc_id, vec_id % 4 AS paragraph, vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings), u AS (SELECT doc_id, paragraph, vec_id, list_transform(a, lambda x: x / sqrt(" + COS.format("a", "a") + ")) AS a FROM v)"
+
+
+@query(f"""WITH {VECTORS}, n1 AS (SELECT doc_id, a, lead(a) OVER (PARTITION BY doc_id ORDER BY vec_id) AS b FROM u), n2 AS (SELECT doc_id, paragraph, a, lead(a) OVER (PARTITION BY doc_id, paragraph ORDER BY vec_id) AS b FROM u),
+a1 AS (SELECT doc_id, avg({COS.format("a", "b")}) AS x FROM n1 WHERE b IS NOT NULL GROUP BY doc_id), b1 AS (SELECT doc_id, avg(x) AS x FROM (SELECT doc_id, paragraph, avg({COS.format("a", "b")}) AS x FROM n2 WHERE b IS NOT NULL GROUP BY ALL) GROUP BY doc_id),
+pp AS (SELECT p.doc_id, p.paragraph AS pa, q.paragraph AS pb, {COS.format("p.a", "q.a")} AS x FROM u p JOIN u q ON p.doc_id = q.doc_id AND p.vec_id < q.vec_id),
+a2 AS (SELECT doc_id, avg(x) AS x FROM pp GROUP BY doc_id), b2 AS (SELECT doc_id, avg(x) AS x FROM (SELECT doc_id, pa, avg(x) AS x FROM pp WHERE pa = pb GROUP BY ALL) GROUP BY doc_id)
+SELECT d.doc_id, round(coalesce(a1.x, 0.0), 6) AS overlap_1, round(coalesce(a2.x, 0.0), 6) AS overlap_a, round(coalesce(b1.x, 0.0), 6) AS overlap_1p, round(coalesce(b2.x, 0.0), 6) AS overlap_ap
+FROM (SELECT DISTINCT doc_id FROM u) d LEFT JOIN a1 USING (doc_id) LEFT JOIN a2 USING (doc_id) LEFT JOIN b1 USING (doc_id) LEFT JOIN b2 USING (doc_id)""")
+def verb_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), (F.col("vec_id") % 4).alias("paragraph"), "vec_id", "embedding")
+    return _decimals(documents.scoped_cosines(t, "embedding", "vec_id"))
+
+
+@query(f"""WITH v AS (SELECT vec_id // 12 AS doc_id, vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings), s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY vec_id) AS i, a FROM v),
+p AS (SELECT x.doc_id, x.i, y.i AS j, {COS.format("x.a", "y.a")} / (sqrt({COS.format("x.a", "x.a")}) * sqrt({COS.format("y.a", "y.a")})) AS c FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.i < y.i),
+l AS (SELECT doc_id, quantile_cont(c, 0.75) AS l FROM p GROUP BY doc_id), b AS (SELECT doc_id, count(*) FILTER (c < l) AS b FROM p JOIN l USING (doc_id) WHERE j = i + 1 GROUP BY doc_id)
+SELECT doc_id, n, coalesce(b, 0) AS n_breaks, round(CASE WHEN n = 1 THEN 1.0 ELSE (coalesce(b, 0) + 1) / n END, 6) AS density FROM (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id) LEFT JOIN b USING (doc_id)""")
+def chunk_density_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 12).cast("long").alias("doc_id"), "vec_id", "embedding")
+    return _decimals(documents.chunk_density_all_pairs(s, ["doc_id"], "vec_id", "embedding"))
+
+
+@query("""WITH s AS (SELECT DISTINCT p_brand AS word, p_size % 10 AS synset FROM part WHERE p_size > 40), l AS (SELECT p_size % 10 AS synset, avg(p_size) AS l FROM part GROUP BY ALL),
+h AS (SELECT word, avg(l) AS h FROM s JOIN l USING (synset) GROUP BY ALL)
+SELECT p_type AS doc_id, round(avg(coalesce(h, 0.0)), 6) AS hypernymy FROM part LEFT JOIN h ON word = p_brand GROUP BY p_type""")
+def hypernymy_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").withColumn("synset", F.col("p_size") % 10)
+    word = [F.col("p_brand").alias("word"), F.lit("NOUN").alias("upos")]
+    tokens, senses, paths = p.select(F.col("p_type").alias("doc_id"), *word), p.filter("p_size > 40").select(*word, "synset"), p.select("synset", F.col("p_size").alias("length"))
+    return _decimals(documents.hypernymy(tokens, senses, paths, ["doc_id"]))
+
+
+@query("""WITH x AS (SELECT l_orderkey AS pair, l_suppkey % 3 AS s, l_partkey % 3 AS c, CAST(l_discount AS DOUBLE) AS f, CAST(l_tax AS DOUBLE) AS b FROM lineitem),
+p AS (SELECT pair, avg(m) AS p FROM (SELECT pair, c, max(f) AS m FROM x GROUP BY ALL) GROUP BY pair), r AS (SELECT pair, avg(m) AS r FROM (SELECT pair, s, max(b) AS m FROM x GROUP BY ALL) GROUP BY pair)
+SELECT pair, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0.0), 6) AS f1 FROM p JOIN r USING (pair)""")
+def best_match_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair"), (F.col("l_suppkey") % 3).alias("s"), (F.col("l_partkey") % 3).alias("c"), F.col("l_discount").cast("double").alias("f"), F.col("l_tax").cast("double").alias("b"))
+    return _decimals(pairs.best_match(x, "pair", "s", "c", "f", "b"))
+
+
+@query("""WITH e AS (SELECT source AS dataset, quality AS y, n_chars AS v FROM documents JOIN labels USING (doc_id) WHERE source IS NOT NULL AND quality IN (0, 1) AND n_chars IS NOT NULL),
+k AS (SELECT dataset FROM e GROUP BY dataset HAVING count(*) >= 10 AND count(DISTINCT y) = 2), b AS (SELECT dataset, y, v FROM e JOIN k USING (dataset)), x AS (SELECT * FROM b UNION ALL SELECT '(all)', y, v FROM b),
+r AS (SELECT dataset, y, v, rank() OVER (PARTITION BY dataset ORDER BY v) + (count(*) OVER (PARTITION BY dataset, v) - 1) / 2.0 AS r FROM x),
+m AS (SELECT dataset, count(*) AS n, sum(r) FILTER (y = 1) AS s, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS q, avg(v) FILTER (y = 0) - avg(v) FILTER (y = 1) AS d, coalesce(var_samp(v) FILTER (y = 0), 0) AS v0, coalesce(var_samp(v) FILTER (y = 1), 0) AS v1 FROM r GROUP BY dataset)
+SELECT dataset, n, round((s - p * (p + 1) / 2) / (p * q), 6) AS auc, round(coalesce(d / nullif(sqrt(((q - 1) * v0 + (p - 1) * v1) / greatest(p + q - 2, 1)), 0), 0), 6) AS cohens_d, round(d, 6) AS mean_difference FROM m""")
+def dataset_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").filter("source IS NOT NULL").select("doc_id", "source", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return _decimals(evaluate.evaluate(d, "source", "quality", "n_chars"))
+
+
+MODELS = "SELECT CAST(l_suppkey % 7 AS VARCHAR) AS penalty, avg(CAST(l_discount AS DOUBLE)) AS auc, avg(CAST(l_tax AS DOUBLE)) AS cohens_d, avg(CAST(l_quantity AS DOUBLE)) AS mean_difference, CAST(count(DISTINCT l_shipdate) AS DOUBLE) AS js_divergence, avg(CAST(l_extendedprice AS DOUBLE)) AS overlap_coefficient, CAST(count(*) AS DOUBLE) AS non_zero_coeffs FROM lineitem GROUP BY l_suppkey % 7"
+
+
+@query(f"""WITH m AS ({MODELS}), s AS (SELECT min(auc) AS lo, max(auc) AS hi, max(non_zero_coeffs) AS k FROM m), b AS (SELECT m.*, 0.7 * (auc - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END + 0.3 * (1 - non_zero_coeffs / k) AS balance FROM m, s),
+l AS (UNPIVOT (SELECT penalty, auc, cohens_d, mean_difference, js_divergence, -overlap_coefficient AS overlap_coefficient, balance FROM b) ON auc, cohens_d, mean_difference, js_divergence, overlap_coefficient, balance INTO NAME measure VALUE v)
+SELECT measure, penalty AS best FROM (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY v DESC, penalty) AS r FROM l) WHERE r = 1""")
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lambda c: F.avg(F.col(c).cast("double"))
+    m = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 7).cast("string").alias("penalty")).agg(d("l_discount").alias("auc"), d("l_tax").alias("cohens_d"), d("l_quantity").alias("mean_difference"), F.count_distinct("l_shipdate").cast("double").alias("js_divergence"), d("l_extendedprice").alias("overlap_coefficient"), F.count("*").cast("double").alias("non_zero_coeffs"))
+    return evaluate.compare_models(materialise(m, "models"))
+
+
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@query(f"""WITH n AS (SELECT unnest([{", ".join(f"'{p}'" for p in PRIORITIES)}]) AS d, unnest(range(5)) AS i), m AS (SELECT unnest(range(1, 31)) AS mask), c AS (SELECT mask, string_agg(d, '_vs_' ORDER BY d) AS combination, list(d) AS ds FROM m JOIN n ON (mask >> i) & 1 = 1 GROUP BY mask HAVING count(*) BETWEEN 2 AND 4)
+SELECT combination, o_orderstatus, count(*) AS n, round(avg(CAST(o_totalprice AS DOUBLE)), 4) AS mean, round(stddev_pop(CAST(o_totalprice AS DOUBLE)), 4) AS std FROM orders JOIN c ON list_contains(ds, o_orderpriority) GROUP BY ALL""")
+def dataset_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = evaluate.combinations(table(spark, sf_dir, "orders"), "o_orderpriority", PRIORITIES, ["o_orderstatus"], "o_totalprice")
+    return g.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
+
+
+@query("""SELECT event_type, CAST(user_id % 20 AS INTEGER) AS level, count(*) AS n FROM events WHERE coalesce(abs(user_id % 20 - value) <= 10, true) GROUP BY ALL""")
+def level_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 20).cast("int").alias("level"), "value")
+    return merge.level_histogram(merge.without_outliers(e, "level", "value"), "level", "event_type")
+
+
 # learning and streaming
 
 
