@@ -6,6 +6,8 @@ end, syllables are runs of Latin vowels. This is an annotator of its own; every
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,11 @@ VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿAEIOUYÀ
 BLANK = r"[ \t\n\x0B\f\r]+"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once a row; within lambdas Spark would compute it again for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _quoted(s: str) -> str:
     return "".join(c if c.isalnum() or c in " _" else "\\" + c for c in s)
 
@@ -165,10 +172,10 @@ def mtld_one_way(ws: Column, threshold: float = 0.72) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(0).alias("n"), F.lit(0).alias("parts"))
 
     def step(acc: Column, w: Column) -> Column:
-        seen = F.when(F.array_contains(acc["seen"], w), acc["seen"]).otherwise(F.array_append(acc["seen"], w))
         n = acc["n"] + 1
-        low = F.size(seen) / n < threshold
-        return F.struct(F.when(low, F.array().cast("array<string>")).otherwise(seen).alias("seen"), F.when(low, 0).otherwise(n).alias("n"), (acc["parts"] + F.when(low, 1).otherwise(0)).alias("parts"))
+        empty = F.array().cast("array<string>")
+        after = lambda seen: F.when(F.size(seen) / n < threshold, F.struct(empty.alias("seen"), F.lit(0).alias("n"), (acc["parts"] + 1).alias("parts"))).otherwise(F.struct(seen.alias("seen"), n.alias("n"), acc["parts"].alias("parts")))
+        return bound(F.when(F.array_contains(acc["seen"], w), acc["seen"]).otherwise(F.array_append(acc["seen"], w)), after)
 
     parts = F.aggregate(ws, start, step, lambda a: a["parts"] + F.when(a["n"] > 0, 1).otherwise(0))
     return F.when(F.size(ws) == 0, 0.0).otherwise(F.size(ws) / F.greatest(parts, F.lit(1)))

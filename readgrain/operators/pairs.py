@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readgrain.functions.text import bound
+
 
 def tokens(t: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(t, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
@@ -13,18 +15,21 @@ def tokens(t: Column) -> Column:
 def ngrams(ws: Column, n: int) -> Column:
     if n == 1:
         return ws
-    return F.when(F.size(ws) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(ws, i, n))))
+    grams = lambda o: F.transform(F.sequence(F.lit(1), F.greatest(F.size(o) - n + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(o, i, n)))
+    return bound(ws, lambda o: F.when(F.size(o) < n, F.array().cast("array<string>")).otherwise(grams(o)))
 
 
-def numbered(xs: Column) -> Column:
-    """Each element with how many equal ones came before it, so that no two are equal."""
-    ordered = F.array_sort(xs)
-    return F.transform(ordered, lambda x, i: F.struct(x.alias("x"), (i - F.array_position(ordered, x)).alias("i")))
+def common(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection of two arrays of strings: both are sorted as one, and one fold pairs equal elements. Linear after the sort."""
+    side = lambda xs, s: F.transform(xs, lambda x: F.struct(x.alias("x"), F.lit(s).alias("s")))
+    start = F.struct(F.lit(None).cast("string").alias("x"), F.lit(0).alias("left"), F.lit(0).alias("n"))
 
+    def step(acc: Column, e: Column) -> Column:
+        left = F.when(acc["x"].eqNullSafe(e["x"]), acc["left"]).otherwise(0)
+        pair = (e["s"] == 1) & (left > 0)
+        return F.struct(e["x"].alias("x"), F.when(e["s"] == 0, left + 1).when(pair, left - 1).otherwise(left).alias("left"), F.when(pair, acc["n"] + 1).otherwise(acc["n"]).alias("n"))
 
-def common(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays: that of the sets of their numbered elements."""
-    return F.size(F.array_intersect(numbered(a), numbered(b)))
+    return F.aggregate(F.sort_array(F.concat(side(a, 0), side(b, 1))), start, step, lambda acc: acc["n"])
 
 
 def prf(match: Column, generated: Column, reference: Column) -> dict[str, Column]:

@@ -179,7 +179,11 @@ def type_token_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", n.cast("long").alias("n_words"), k.cast("long").alias("n_distinct"), r6(k / F.greatest(n, F.lit(1))).alias("ttr"))
 
 
-@query()
+SEGMENTS = """CASE WHEN len({0}) = 0 THEN 0.0 ELSE len({0}) / (SELECT greatest(1, r.parts + CASE WHEN len(r.seen) > 0 THEN 1 ELSE 0 END) FROM (SELECT list_reduce(list_transform({0}, lambda w: {{'seen': [w], 'parts': 0}}),
+ lambda a, x: CASE WHEN len(list_distinct(a.seen || x.seen)) / len(a.seen || x.seen) < 0.72 THEN {{'seen': CAST([] AS VARCHAR[]), 'parts': a.parts + 1}} ELSE {{'seen': a.seen || x.seen, 'parts': a.parts}} END, {{'seen': CAST([] AS VARCHAR[]), 'parts': 0}}) AS r)) END"""
+
+
+@query(f"WITH t AS (SELECT doc_id, list_transform({WORDS_SQL}, lambda w: lower(w)) AS ws FROM documents), u AS (SELECT doc_id, ws, list_reverse(ws) AS rs FROM t) SELECT doc_id, round(({SEGMENTS.format('ws')} + {SEGMENTS.format('rs')}) / 2, 6) AS mtld FROM u")
 def mtld(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "documents").select("doc_id", F.transform(T.words(F.col("text")), F.lower).alias("ws"))
     return t.select("doc_id", r6(T.mtld(F.col("ws"))).alias("mtld"))
@@ -691,7 +695,18 @@ def rouge_l_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decimals(pairs.rouge_l(_turn_pairs(spark, sf_dir), "generated", "reference").drop("generated", "reference"))
 
 
-@query()
+def _bleu_sql() -> str:
+    gram = lambda n: f"list_transform(range(1, greatest(len(t) - {n - 2}, 1)), lambda i: array_to_string(t[i:i + {n - 1}], ' '))"
+    orders = range(1, 5)
+    counts = ", ".join(f"g{n} AS (SELECT conv_id, turn, w, count(*) FILTER (s = 1) AS a, count(*) FILTER (s = 2) AS b FROM (SELECT conv_id, turn, s, unnest({gram(n)}) AS w FROM l) GROUP BY ALL), m{n} AS (SELECT conv_id, turn, sum(least(a, b)) AS m{n} FROM g{n} GROUP BY ALL)" for n in orders)
+    joins = " ".join(f"LEFT JOIN m{n} USING (conv_id, turn)" for n in orders)
+    missed = lambda n: " + ".join(f"CASE WHEN coalesce(m{k}, 0) = 0 THEN 1 ELSE 0 END" for k in range(1, n + 1))
+    logs = " + ".join(f"ln(CASE WHEN coalesce(m{n}, 0) > 0 THEN m{n} / greatest(len(g) - {n - 1}, 1) ELSE 1 / (pow(2.0, {missed(n)}) * greatest(len(g) - {n - 1}, 1)) END) / 4" for n in orders)
+    return f"""WITH p AS ({PAIR.format(TOK.format('a'), TOK.format('b'))}), l AS (SELECT conv_id, turn, 1 AS s, g AS t FROM p UNION ALL SELECT conv_id, turn, 2, r FROM p), {counts}
+ SELECT conv_id, turn, round(CASE WHEN len(g) = 0 OR coalesce(m1, 0) = 0 THEN 0.0 ELSE CASE WHEN len(g) >= len(r) THEN 1.0 ELSE exp(1 - len(r) / len(g)) END * exp({logs}) END, 6) AS bleu FROM p {joins}"""
+
+
+@query(_bleu_sql())
 def bleu_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decimals(pairs.bleu(_turn_pairs(spark, sf_dir), "generated", "reference").drop("generated", "reference"))
 
@@ -775,17 +790,26 @@ def tokens_of_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTORS = "v AS (SELECT label AS doc_id, vec_id % 4 AS paragraph, vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings), u AS (SELECT doc_id, paragraph, vec_id, list_transform(a, lambda x: x / sqrt(" + COS.format("a", "a") + ")) AS a FROM v)"
 
 
-@query(f"""WITH {VECTORS}, n1 AS (SELECT doc_id, a, lead(a) OVER (PARTITION BY doc_id ORDER BY vec_id) AS b FROM u), n2 AS (SELECT doc_id, paragraph, a, lead(a) OVER (PARTITION BY doc_id, paragraph ORDER BY vec_id) AS b FROM u),
+OVERLAP_SQL = f"""WITH {VECTORS}, n1 AS (SELECT doc_id, a, lead(a) OVER (PARTITION BY doc_id ORDER BY vec_id) AS b FROM u), n2 AS (SELECT doc_id, paragraph, a, lead(a) OVER (PARTITION BY doc_id, paragraph ORDER BY vec_id) AS b FROM u),
 a1 AS (SELECT doc_id, avg({COS.format("a", "b")}) AS x FROM n1 WHERE b IS NOT NULL GROUP BY doc_id), b1 AS (SELECT doc_id, avg(x) AS x FROM (SELECT doc_id, paragraph, avg({COS.format("a", "b")}) AS x FROM n2 WHERE b IS NOT NULL GROUP BY ALL) GROUP BY doc_id),
 pp AS (SELECT p.doc_id, p.paragraph AS pa, q.paragraph AS pb, {COS.format("p.a", "q.a")} AS x FROM u p JOIN u q ON p.doc_id = q.doc_id AND p.vec_id < q.vec_id),
 a2 AS (SELECT doc_id, avg(x) AS x FROM pp GROUP BY doc_id), b2 AS (SELECT doc_id, avg(x) AS x FROM (SELECT doc_id, pa, avg(x) AS x FROM pp WHERE pa = pb GROUP BY ALL) GROUP BY doc_id)
 SELECT d.doc_id, round(coalesce(a1.x, 0.0), 6) AS overlap_1, round(coalesce(a2.x, 0.0), 6) AS overlap_a, round(coalesce(b1.x, 0.0), 6) AS overlap_1p, round(coalesce(b2.x, 0.0), 6) AS overlap_ap
-FROM (SELECT DISTINCT doc_id FROM u) d LEFT JOIN a1 USING (doc_id) LEFT JOIN a2 USING (doc_id) LEFT JOIN b1 USING (doc_id) LEFT JOIN b2 USING (doc_id)""")
+FROM (SELECT DISTINCT doc_id FROM u) d LEFT JOIN a1 USING (doc_id) LEFT JOIN a2 USING (doc_id) LEFT JOIN b1 USING (doc_id) LEFT JOIN b2 USING (doc_id)"""
+
+
+@query(OVERLAP_SQL)
 def verb_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), (F.col("vec_id") % 4).alias("paragraph"), "vec_id", "embedding")
     return _decimals(documents.scoped_cosines(t, "embedding", "vec_id"))
 
 
+@query(OVERLAP_SQL.replace("overlap_", "PCREF_").replace("PARTITION BY doc_id ORDER BY vec_id", "PARTITION BY doc_id ORDER BY paragraph, vec_id"))
+def referential_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), (F.col("vec_id") % 4).alias("paragraph"), F.col("vec_id").alias("sentence"), F.col("embedding").alias("vector"))
+    return _decimals(features.referential_cohesion(t))
+
+
 @query(f"""WITH v AS (SELECT vec_id // 12 AS doc_id, vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings), s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY vec_id) AS i, a FROM v),
 p AS (SELECT x.doc_id, x.i, y.i AS j, {COS.format("x.a", "y.a")} / (sqrt({COS.format("x.a", "x.a")}) * sqrt({COS.format("y.a", "y.a")})) AS c FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.i < y.i),
 l AS (SELECT doc_id, quantile_cont(c, 0.75) AS l FROM p GROUP BY doc_id), b AS (SELECT doc_id, count(*) FILTER (c < l) AS b FROM p JOIN l USING (doc_id) WHERE j = i + 1 GROUP BY doc_id)
@@ -880,7 +904,7 @@ def causal_connectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("conv_id", "turn", F.col("metrics")["causal/count"].cast("long").alias("n_causal"))
 
 
-@query()
+@query("SELECT event_id, event_type, CAST(length(props) AS INTEGER) AS n_props FROM events")
 def stream_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a file stream, each with the length of its properties; exactly once per event."""
     import uuid
