@@ -40,20 +40,21 @@ def write_paths(rows: DataFrame, keys: Sequence[str], path: str, order: str) ->
     """The writes that last: of those to one path (an array) the last, without paths below one that was written later as a whole.
 
     Equi-joins on the path only, so that no sample's writes meet in one task. Of writes with equal order an arbitrary one of those to the
-    same path lasts, so order should be unique. A null path is the empty one.
+    same path lasts, so order should be unique. A null path is the empty one; null keys are keys like others.
     """
     p = F.coalesce(F.col(path), F.array().cast("array<string>"))
     last = rows.withColumn(path, p).groupBy(*keys, path).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (*keys, path)]), order).alias("_w"))
-    above = last.select(*keys, F.col(path).alias("_above"), F.col(f"_w.{order}").alias("_later"))
+    last = last.withColumn("_k", F.struct(*keys))  # structs with null fields are equal in a join
+    above = last.select("_k", F.col(path).alias("_above"), F.col(f"_w.{order}").alias("_later"))
     prefixes = last.filter(F.size(path) > 0).select("*", F.explode(F.transform(F.sequence(F.lit(0), F.size(path) - 1), lambda i: F.slice(path, 1, i))).alias("_above"))
-    gone = prefixes.join(above, [*keys, "_above"]).filter(F.col("_later") > F.col(f"_w.{order}")).select(*keys, path).distinct()
-    return last.join(gone, [*keys, path], "left_anti").select(*keys, path, "_w.*")
+    gone = prefixes.join(above, ["_k", "_above"]).filter(F.col("_later") > F.col(f"_w.{order}")).select("_k", path).distinct()
+    return last.join(gone, ["_k", path], "left_anti").select(*keys, path, "_w.*")
 
 
 def aligned_judges(rows: DataFrame, dataset: str, judge: str, position: str, kind: str, scores: Sequence[str]) -> DataFrame:
     """Per data set, position and kind of text that all judges of the data set have: the scores of all judges, in order of their names.
 
-    A judge's repeated rows of a position count once (the least of them). The judges of a data set are few, so the count is broadcast only if
+    A judge's repeated rows of a position count once (the least of them); rows without a data set are left out. The judges of a data set are few, so the count is broadcast only if
     Spark finds it small; the groups hold a row per judge.
     """
     n = rows.groupBy(dataset).agg(F.count_distinct(judge).alias("_n"))

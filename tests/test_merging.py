@@ -25,9 +25,9 @@ def test_subcategories_and_datasets(spark):
 
 
 def test_write_paths(spark):
-    rows = [("s", ["a", "x"], 1, "old"), ("s", ["a", "x"], 2, "new"), ("s", ["b", "x"], 3, "gone"), ("s", ["b"], 4, "whole"), ("s", ["b", "y"], 5, "after"), (None, None, 6, "root")]
+    rows = [("s", ["a", "x"], 1, "old"), ("s", ["a", "x"], 2, "new"), ("s", ["b", "x"], 3, "gone"), ("s", ["b"], 4, "whole"), ("s", ["b", "y"], 5, "after"), (None, None, 6, "root"), (None, ["c", "x"], 7, "gone"), (None, ["c"], 8, "null key")]
     w = merge.write_paths(spark.createDataFrame(rows, "k string, p array<string>, o int, v string"), ["k"], "p", "o").collect()
-    assert sorted((x.p, x.v) for x in w) == [([], "root"), (["a", "x"], "new"), (["b"], "whole"), (["b", "y"], "after")]
+    assert sorted((x.p, x.v) for x in w) == [([], "root"), (["a", "x"], "new"), (["b"], "whole"), (["b", "y"], "after"), (["c"], "null key")]
     assert merge.write_paths(spark.createDataFrame([], "k string, p array<string>, o int, v string"), ["k"], "p", "o").count() == 0
 
 
