@@ -132,3 +132,15 @@ def test_evaluate_skips(spark):
     got = {x.dataset: x.n for x in evaluate.evaluate(spark.createDataFrame(rows, "d string, y int, s double"), "d", "y", "s").collect()}
     assert got == {"a": 12, "(all)": 12}
     assert evaluate.evaluate(spark.createDataFrame([], "d string, y int, s double"), "d", "y", "s").count() == 0
+
+
+def test_save_report(spark, tmp_path):
+    import json
+
+    from readgrain.sources.writers import save_report
+
+    for path in (f"{tmp_path}/a/r.json", f"file://{tmp_path}/b/r.json"):
+        for report in ({"old": 1}, {"é": [1, None]}):
+            save_report(report, path)
+        with open(path.removeprefix("file://"), encoding="utf-8") as f:
+            assert json.load(f) == {"é": [1, None]}
