@@ -2,9 +2,9 @@
 
 Each text gives, for TREES trees, a path of DEPTH MinHash values of its five-word shingles. The paths of all trees are sorted (one range
 sort over tree, path and text), which is a prefix trie of each tree: texts below a node of the trie stand together, and neighbours' common
-prefixes say how deep they part. How long a prefix two texts must share is decided on the data: a bounded sample of texts is compared with
-all texts by all MinHash values, which shows how alike the near texts of this table are, and prefixes are shortened from DEPTH on until
-the recall of such pairs reaches the target.
+prefixes say how deep they part. How long a prefix two texts must share follows from the threshold alone, not from what a sample of the
+table looks like: prefixes are shortened from DEPTH on until the expected recall of pairs that are just as alike as the threshold, which
+share the fewest prefixes of all pairs to be found, reaches the target. So it holds for each pair, and not for the average of a table's.
 
 One pass over the sorted paths then ties texts below the same node. Texts that only chance has put there are kept apart by one-bit
 sketches: a text becomes a leader if no leader is near it, and texts are tied to all leaders that can be near a text near them (the
@@ -36,8 +36,6 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 28, 8, 0.9998
 #: Trees whose ties are followed before those of the others are looked for.
 FIRST = 7
-#: Texts that are compared with all to see how long prefixes may be.
-SAMPLE = 128
 #: A block's texts, and its shingles in all.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Rows of one trie node that are looked at together.
@@ -134,50 +132,13 @@ def signatures(docs: DataFrame, trees: int, depth: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(task(run), schema)
 
 
-def likeness_of_near(texts: DataFrame, threshold: float, trees: int, depth: int, sample: int = SAMPLE) -> dict[tuple[int, int], int]:
-    """(equal MinHash values, longest common prefix in a tree) -> number of pairs, of a sample of texts with all others, alike as the threshold or more.
+def prefix_length(near: dict[tuple[int, int], int] | None = None, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> tuple[int, float, float]:
+    """The longest prefix at which pairs are found with the target recall: its length, the recall expected of pairs as alike as these, and the share of these that is found.
 
-    What is broadcast are the sample's paths, what comes back a row per number of values and length.
+    near: (equal MinHash values, longest common prefix in a tree) -> number of pairs. Without any, prefixes are shortened for pairs at the
+    threshold itself, so that each pair at the threshold or above is found with the target recall.
     """
-    import numpy as np
-
-    some = texts.orderBy(F.xxhash64("node"), "node").limit(sample).select("node", "path").collect()
-    if not some:
-        return {}
-    sent = texts.sparkSession.sparkContext.broadcast((np.array([r["node"] for r in some]), np.frombuffer(b"".join(r["path"] for r in some), np.uint16).reshape(len(some), -1)))
-
-    def run(batches: Iterator) -> Iterator:
-        from collections import Counter
-
-        import pyarrow as pa
-
-        ids, theirs = sent.value
-        theirs = np.ascontiguousarray(theirs.T)
-        found: Counter = Counter()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                own = np.ascontiguousarray(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(part.num_rows, -1).T)
-                same = np.zeros((part.num_rows, len(ids)), np.uint16)
-                for x, y in zip(own, theirs, strict=True):
-                    same += x[:, None] == y[None, :]
-                near = (same >= threshold * trees * depth) & (part.column(0).to_numpy()[:, None] != ids[None, :])
-                for i, j in zip(*np.nonzero(near), strict=True):
-                    run = np.cumprod((own[:, i] == theirs[:, j]).reshape(trees, depth), axis=1).sum(axis=1)
-                    found[int(same[i, j]), int(run.max())] += 1
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int32()), pa.array([k[1] for k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], ["same", "run", "n"])
-
-    rows = texts.select("node", "path").mapInArrow(task(run), "same int, run int, n long").groupBy("same", "run").agg(F.sum("n").alias("n")).collect()
-    return {(r["same"], r["run"]): r["n"] for r in rows}
-
-
-def prefix_length(near: dict[tuple[int, int], int], threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> tuple[int, float, float]:
-    """The longest prefix at which the pairs of likeness_of_near() are found with the target recall: its length, the recall expected of pairs as alike as these, and the share of these that is found.
-
-    Without pairs, those at the threshold itself are what prefixes are shortened for.
-    """
-    seen = near or {(math.ceil(threshold * trees * depth), depth): 1}
+    seen = near or {(threshold * trees * depth, depth): 1}
     total = sum(seen.values())
     for k in range(depth, 0, -1):
         expected = sum(n * expected_recall(same / (trees * depth), k, trees) for (same, _), n in seen.items()) / total
@@ -480,7 +441,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, dept
     texts = sigs.filter(F.col("key").isNotNull()).groupBy("key", "node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("shingles", "path", "sketch")])
     texts = materialise(texts, "forest-texts")
     forget(sigs)
-    length = prefix_length(likeness_of_near(texts, threshold, trees, depth), threshold, trees, depth, recall)[0]
+    length = prefix_length(None, threshold, trees, depth, recall)[0]
     groups = candidate_groups(texts, length, threshold, trees, depth)
     found = materialise(links(docs, texts.drop("path", "sketch"), groups, threshold, block), "forest-links")
     per = found.groupBy("key").agg(F.sum("links").alias("n_links"))

@@ -253,6 +253,20 @@ def test_jaccard_odd(odd, empty):
     assert kept.columns == odd.columns and kept.filter("doc_id = 103").count() == 2
 
 
+def test_jaccard_at_threshold(spark):
+    """Pairs at the threshold itself are found in a table whose near texts are nearly all copies."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    rows, seed = [], [word() for _ in range(200)]
+    for i in range(1500):  # 45 shingles each, 40 common ones: 40 of 50
+        a = [word() for _ in range(49)]
+        b = [*a[:24], word(), *a[25:]]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    rows += [(3000 + i, " ".join([*seed, word()])) for i in range(300)]
+    got = by_id(forest.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert {i: (x["class_id"], x["n_links"]) for i, x in got.items()} == {i: (i // 2 * 2, 1) if i < 3000 else (3000, 299) for i, _ in rows}
+
+
 def test_jaccard_prefixes():
     """Prefixes are as long as the near texts of the table allow: long for exact ones, shorter where they are near the threshold."""
     n = forest.TREES * forest.DEPTH
