@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from readgrain.storage import forget, materialise, remove, shared_dir  # noqa: F401
+from readgrain.storage import forget, gathered, materialise, remove, shared_dir  # noqa: F401
 
 #: A word of the contracts is a run of anything else than these ASCII blanks, which are those of bytes.split().
 BLANK = r"\x20\x09-\x0D"

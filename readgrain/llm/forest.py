@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from readgrain.llm.common import Cache, documents, forget, materialise, slices, task
+from readgrain.llm.common import Cache, documents, forget, gathered, materialise, slices, task
 from readgrain.llm.graph import components
 from readgrain.llm.member import maybe_members
 
@@ -259,7 +259,7 @@ def ties(texts: DataFrame, trees: range, length: int, threshold: float, values:
             fresh = np.nonzero((kept[0][1:] != kept[0][:-1]).any(axis=1))[0]
             yield from ended(kept, ({0} if first else set()) | {int(fresh[-1]) + 1 if len(fresh) else 0})
 
-    found = materialise(sorted_paths.mapInArrow(task(run), "a long, b long, place binary"), "forest-ties")
+    found = materialise(gathered(sorted_paths.mapInArrow(task(run), "a long, b long, place binary")), "forest-ties")
     edges = found.filter("b IS NULL").select("a", "place")
     hubs = edges.groupBy("place").agg(F.min("a").alias("b"))
     across = edges.join(hubs, "place").filter("a != b").select("a", "b")
@@ -272,8 +272,8 @@ def candidate_groups(texts: DataFrame, length: int, threshold: float, trees: int
     The first trees tie most of what is near; in the others only texts that aren't in one group yet are tied, so a large group doesn't
     give its ties in every tree.
     """
-    groups = lambda rows, of, name: components(materialise(ties(rows, of, length, threshold, trees * depth, depth), f"{name}-ties"), "a", "b", name)
-    one = materialise(groups(texts.withColumn("label", F.col("node")), range(min(first, trees)), "forest-first").select(F.col("node").alias("_n"), F.col("root").alias("_r")), "forest-first")
+    groups = lambda rows, of, name: components(materialise(gathered(ties(rows, of, length, threshold, trees * depth, depth)), f"{name}-ties"), "a", "b", name)
+    one = materialise(gathered(groups(texts.withColumn("label", F.col("node")), range(min(first, trees)), "forest-first").select(F.col("node").alias("_n"), F.col("root").alias("_r"))), "forest-first")
     # 16 bytes a row; beyond a million rows the join is left to the planner
     known = F.broadcast(one) if one.count() <= 1_000_000 else one
     labelled = texts.join(known, F.col("node") == F.col("_n"), "left").withColumn("label", F.coalesce("_r", "node")).drop("_n", "_r")
@@ -281,7 +281,7 @@ def candidate_groups(texts: DataFrame, length: int, threshold: float, trees: int
     # texts of the first groups, and those that only the second trees tie
     left = one.join(two, F.col("_r") == F.col("_a"), "left").select(F.col("_n").alias("node"), F.coalesce("_b", "_r").alias("group"))
     more = two.join(one, F.col("_a") == F.col("_n"), "left_anti").select(F.col("_a").alias("node"), F.col("_b").alias("group"))
-    return materialise(left.union(more), "forest-groups")
+    return materialise(gathered(left.union(more)), "forest-groups")
 
 
 def overlaps(left: list, right: list | None):  # noqa: ANN001, ANN201
@@ -358,14 +358,14 @@ def dealt(members: DataFrame, threshold: float, block: int, most: int = BLOCK_SH
     sizes = sizes.withColumn("parts", F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("all") / F.lit(most))).cast("int"))
     by = Window.partitionBy("group").orderBy("class")
     near = lambda f, d: F.when(f("class").over(by) == F.col("class") + d, f("parts").over(by)).otherwise(0).alias("below" if d < 0 else "above")
-    sizes = materialise(sizes.select("group", "class", "parts", near(F.lag, -1), near(F.lead, 1)), "forest-sizes")
+    sizes = materialise(gathered(sizes.select("group", "class", "parts", near(F.lag, -1), near(F.lead, 1))), "forest-sizes")
     return members.join(sizes, ["group", "class"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
 
 
 def links(docs: DataFrame, texts: DataFrame, groups: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """key, root and links, from each pair of blocks in which the key has a link."""
     members = texts.join(groups, "node").select("key", "rep", "shingles", "group")
-    placed = materialise(dealt(members, threshold, block).select(F.col("rep").alias("_rep"), "key", "group", "class", "parts", "below", "above", "own"), "forest-members")
+    placed = materialise(gathered(dealt(members, threshold, block).select(F.col("rep").alias("_rep"), "key", "group", "class", "parts", "below", "above", "own")), "forest-members")
     # only texts that can be members leave the map side, as shingles
     some = maybe_members(docs.select("doc_id", "text"), "doc_id", placed, "_rep", "_can").filter("_can").select("doc_id", "text")
     schema = StructType.fromDDL(f"_doc {docs.schema['doc_id'].dataType.simpleString()}, _key binary, shingles binary")
@@ -443,7 +443,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, dept
     forget(sigs)
     length = prefix_length(None, threshold, trees, depth, recall)[0]
     groups = candidate_groups(texts, length, threshold, trees, depth)
-    found = materialise(links(docs, texts.drop("path", "sketch"), groups, threshold, block), "forest-links")
+    found = materialise(gathered(links(docs, texts.drop("path", "sketch"), groups, threshold, block)), "forest-links")
     per = found.groupBy("key").agg(F.sum("links").alias("n_links"))
     roots = components(found.filter("key != root").select("key", "root"), "key", "root", "forest-classes")
     tied = texts.select("key", "rep").join(roots, F.col("key") == F.col("node")).select("key", "root", "rep")
@@ -451,7 +451,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, dept
     tied = tied.join(least, "root").join(per, "key").select(F.col("key").alias("_k"), "least", "n_links")
     classes = texts.select("key", "rep", "copies").join(tied, F.col("key") == F.col("_k"), "left").select(F.col("key").alias("_key"), F.coalesce("least", "rep").alias("class"), "n_links", "copies")
     # written, so that the join below has a plain exchange on either side, and a text with very many copies can be split
-    classes = materialise(classes, "forest-texts-classes")
+    classes = materialise(gathered(classes), "forest-texts-classes")
     both = keys.join(classes, F.col("key") == F.col("_key"), "left")
     return both.select(
         "doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies")
@@ -464,16 +464,16 @@ def distinct_documents(docs: DataFrame, **how) -> DataFrame:  # noqa: ANN003
     All rows of null texts and texts without words stay. Columns of docs are as they were, whatever their names; of rows with equal id and
     text any one stays. An empty table gives an empty one.
     """
-    classes = materialise(join(docs, **how), "forest-documents")
+    classes = materialise(gathered(join(docs, **how)), "forest-documents")
     gone = classes.filter(F.col("key").isNotNull() & F.col("class_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__rg_id"), F.col("key").alias("__rg_key")).distinct()
     key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    gone = materialise(gone, "forest-gone")
+    gone = materialise(gathered(gone), "forest-gone")
     # rows that can't be gone stay where they are; only the others are joined
     marked = maybe_members(docs, "doc_id", gone, "__rg_id", "__rg_can")
     rest = marked.filter("__rg_can").select(*docs.columns).join(gone, F.col("doc_id").eqNullSafe(F.col("__rg_id")) & (key == F.col("__rg_key")), "left_anti")
     kept = marked.filter("NOT __rg_can").select(*docs.columns).unionByName(rest)
     twice = classes.filter("copies > 1").groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__rg_id"), F.col("key").alias("__rg_key"))
-    twice = materialise(twice, "forest-repeats")
+    twice = materialise(gathered(twice), "forest-repeats")
     if twice.isEmpty():
         return kept
     same = F.col("doc_id").eqNullSafe(F.col("__rg_id")) & (key == F.col("__rg_key"))

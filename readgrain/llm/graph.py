@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readgrain.llm.common import forget, materialise
+from readgrain.llm.common import forget, gathered, materialise
 
 
 def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
@@ -16,13 +16,13 @@ def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
     handling can split; minima are taken on the map side first.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = materialise(both.union(both.select("v", "u")).distinct(), f"{name}-edges")
-    labels = materialise(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("l")), f"{name}-labels")
+    both = materialise(gathered(both.union(both.select("v", "u")).distinct()), f"{name}-edges")
+    labels = materialise(gathered(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("l"))), f"{name}-labels")
     while True:
         near = both.join(labels.select(F.col("u").alias("v"), F.col("l").alias("x")), "v").groupBy("u").agg(F.min("x").alias("x"))
         low = labels.select("u", "l").join(near, "u").select("u", F.col("l").alias("old"), F.least("l", "x").alias("l"))
         jump = low.join(labels.select(F.col("u").alias("l"), F.col("l").alias("ll")), "l", "left").select("u", "old", F.least("l", F.coalesce("ll", "l")).alias("l"))
-        found = materialise(jump, f"{name}-labels")
+        found = materialise(gathered(jump), f"{name}-labels")
         forget(labels)
         if found.filter("l != old").isEmpty():
             forget(both)

@@ -29,6 +29,19 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """df, whose rows are a few bytes each, in as many partitions as there are cores at most, where Spark doesn't join small partitions by itself; for materialise().
+
+    Without Hadoop's native library a local file system starts processes for the mode of each file. Until such a process runs its own
+    program it shares, and counts with, all memory of its executor. What df takes to compute is dealt out as before.
+    """
+    conf = df.sparkSession.conf
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if all(conf.get(f"spark.sql.adaptive.{k}", "true") == "true" for k in ("enabled", "coalescePartitions.enabled")) or int(conf.get("spark.sql.shuffle.partitions")) <= cores:
+        return df
+    return df.repartition(cores)
+
+
 def remove(spark: SparkSession, at: str) -> None:
     """Deletes a folder of the shared file system."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)

@@ -298,6 +298,34 @@ def test_jaccard_ties(spark, monkeypatch, piece):
     assert sum(x in groups for x in random_text) < 0.05 * len(random_text) + 10 * (piece == 4)
 
 
+def test_jaccard_files(spark, monkeypatch):
+    """Where Spark joins no small partitions, narrow tables between steps are few files all the same."""
+    from readgrain.llm import graph
+
+    r = random.Random(8)
+    texts = [[r.choice("abcdefghij") for _ in range(60)] for _ in range(80)]
+    docs = spark.createDataFrame([(10 * i + k, " ".join([*t[:59], f"z{k}"]), None, None, 1) for i, t in enumerate(texts) for k in range(2)], SCHEMA).repartition(4)
+    files, write = {}, forest.materialise
+
+    def noted(df, name):
+        out = write(df, name)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    for module in (forest, graph):
+        monkeypatch.setattr(module, "materialise", noted)
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert sorted(x.doc_id for x in forest.distinct_documents(docs).collect()) == list(range(0, 800, 10))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 10 and {k for k, n in files.items() if n > spark.sparkContext.defaultParallelism} == {"forest-texts"}
+
+
 def test_jaccard_leaders():
     """Below one trie node unlike texts are leaders of their own, untied; like ones are tied, and all that are near each other share a leader."""
     import numpy as np
