@@ -158,6 +158,31 @@ def test_causal():
     assert annotators.CausalCounter().count("Smoke leads to harm, therefore we stop because of it.") == 3
 
 
+def test_causal_reads_a_line_once():
+    """The counts of the patterns as they stand, in time that grows with the text."""
+    import random
+    import re
+    import time
+
+    def plain(low):
+        found, n = set(), 0
+        for p in annotators.CAUSAL:
+            for m in re.finditer(p, low):
+                at = set(range(*m.span("keyword")))
+                n, found = (n, found) if at & found else (n + 1, found | at)
+        return n
+
+    pieces = sorted({k for p in annotators.CAUSAL for k in re.sub(r"\(\.\+\??\)|\(\?:|\(\?P<keyword>|\.\+|[?)|]", "|", p).split("|") if k}) + ["x", " ", " ", " ", ", ", "\n", " is ", " was ", "an effect of ", "if ", "because ", "the reason for ", ", then ", "\u0130", "\r"]
+    dice, counter = random.Random(5), annotators.CausalCounter()
+    for _ in range(2000):
+        t = "".join(dice.choice(pieces) + dice.choice(("", " ")) for _ in range(dice.randint(0, 25)))
+        assert counter.count(t) == plain(t.lower()), t
+    for word in ("word ", "if a ", "because a ", "the reason for ", "an effect of a "):
+        began = time.time()
+        assert counter.count(word * (20_000 // len(word))) == plain(word * 40)
+        assert time.time() - began < 2
+
+
 def test_trees(spark):
     df = spark.createDataFrame([("Q1_A1", "orig", [("m", 0.1, [("1", "a"), ("9", " ")])])], "question_id string, original_answer string, generations array<struct<model_used string, temperature double, variants array<struct<complexity_level string, generated_answer string>>>>")
     rows = reshape.tree_rows(df, ["question_id"]).collect()
