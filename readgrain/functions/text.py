@@ -167,22 +167,39 @@ def spache(unfamiliar: Column, w: Column, s: Column) -> Column:
     return F.when((w == 0) | (s == 0), 0.0).otherwise(0.141 * (w / F.greatest(s, F.lit(1))) + 0.086 * (unfamiliar / F.greatest(w, F.lit(1)) * 100) + 0.839)
 
 
-def mtld_one_way(ws: Column, threshold: float = 0.72) -> Column:
-    """Words per segment; a segment ends where the share of distinct words falls below the threshold, the rest counts as one more."""
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(0).alias("n"), F.lit(0).alias("parts"))
+def _mtld(threshold: float, both: bool) -> Callable[[Column], Column]:
+    @F.arrow_udf("double")
+    def score(batch):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        def one_way(codes):  # noqa: ANN001, ANN202
+            seen, n, parts = set(), 0, 0
+            for w in codes:
+                n += 1
+                seen.add(w)
+                if len(seen) / n < threshold:
+                    seen, n, parts = set(), 0, parts + 1
+            return len(codes) / max(parts + (n > 0), 1) if codes else 0.0
+
+        every = batch.values.dictionary_encode().indices  # equal words have equal codes; all of a batch's strings are held once
+        out = []
+        for a, b, there in zip(batch.offsets.to_pylist()[:-1], batch.offsets.to_pylist()[1:], batch.is_valid().to_pylist(), strict=True):
+            part = every[a:b]
+            codes = part.to_numpy(zero_copy_only=False).tolist() if not part.null_count else [-i if c is None else c for i, c in enumerate(part.to_pylist(), 1)]  # a null equals no other word
+            out.append(None if not there else (one_way(codes) + one_way(codes[::-1])) / 2 if both else one_way(codes))
+        return pa.array(out, "double")
+
+    return score
 
-    def step(acc: Column, w: Column) -> Column:
-        n = acc["n"] + 1
-        empty = F.array().cast("array<string>")
-        after = lambda seen: F.when(F.size(seen) / n < threshold, F.struct(empty.alias("seen"), F.lit(0).alias("n"), (acc["parts"] + 1).alias("parts"))).otherwise(F.struct(seen.alias("seen"), n.alias("n"), acc["parts"].alias("parts")))
-        return bound(F.when(F.array_contains(acc["seen"], w), acc["seen"]).otherwise(F.array_append(acc["seen"], w)), after)
 
-    parts = F.aggregate(ws, start, step, lambda a: a["parts"] + F.when(a["n"] > 0, 1).otherwise(0))
-    return F.when(F.size(ws) == 0, 0.0).otherwise(F.size(ws) / F.greatest(parts, F.lit(1)))
+def mtld_one_way(ws: Column, threshold: float = 0.72) -> Column:
+    """Words per segment; a segment ends where the share of distinct words falls below the threshold, the rest counts as one more. Time grows with the words."""
+    return _mtld(threshold, False)(ws)
 
 
 def mtld(ws: Column, threshold: float = 0.72) -> Column:
-    return (mtld_one_way(ws, threshold) + mtld_one_way(F.reverse(ws), threshold)) / 2
+    """The mean of both directions."""
+    return _mtld(threshold, True)(ws)
 
 
 def after_thinking(t: Column) -> Column:

@@ -62,6 +62,19 @@ def test_mtld(spark):
     assert get(["a", "b", "c"]) == 3.0
     assert get([]) == 0.0
     assert get(["a"] * 4) == 2.0
+    assert get(None) is None
+    assert get([None, None, "a"]) == 3.0
+
+
+def test_mtld_of_long_segments(spark):
+    """A segment of any length costs no more a word: 40,000 words, of which none comes twice, in one segment."""
+    import time
+
+    row = lambda n: spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i.cast("string")).alias("ws"))
+    assert row(10).select(T.mtld(F.col("ws"))).first()[0] == 10
+    began = time.time()
+    assert row(40_000).select(T.mtld(F.col("ws"))).first()[0] == 40_000
+    assert time.time() - began < 5
 
 
 def test_scaling(spark):
