@@ -23,10 +23,18 @@ def sentence_table(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return p.select(key, "paragraph", F.posexplode(kept(F.split("_p", r"(?<=[.!?])[ \t\r]+"))).alias("sentence", "text"))
 
 
-def token_table(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Tokens (words, and single characters that are neither words nor blank): key, paragraph, sentence, token (from 0 in the sentence), text."""
+def token_lists(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The tokens of each sentence (words, and single characters that are neither words nor blank), in order: key, paragraph, sentence, tokens.
+
+    Sentences without tokens vanish. Nothing is shuffled.
+    """
     ts = F.regexp_extract_all(F.col("text"), F.lit(rf"{WORD}|[^ \t\n\f\r]"), F.lit(0))
-    return sentences.select(key, "paragraph", "sentence", F.posexplode(ts).alias("token", "text"))
+    return sentences.select(key, "paragraph", "sentence", F.explode(F.filter(F.array(ts), lambda x: F.size(x) > 0)).alias("tokens"))
+
+
+def token_table(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The tokens of token_lists() as rows: key, paragraph, sentence, token (from 0 in the sentence), text."""
+    return token_lists(sentences, key).select(key, "paragraph", "sentence", F.posexplode("tokens").alias("token", "text"))
 
 
 def tokens_by_sentence(tokens: DataFrame, key: str = "doc_id") -> DataFrame:

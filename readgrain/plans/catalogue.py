@@ -774,9 +774,8 @@ w AS (SELECT doc_id, paragraph, sentence, regexp_extract_all(text, '[\p{L}\p{M}\
 
 @query(f"WITH {SENTENCES} SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph, CAST(sentence AS INTEGER) AS sentence, CAST(len(ts) AS BIGINT) AS n_tokens, array_to_string(ts, ' ') AS tokens FROM w WHERE len(ts) > 0")
 def sentence_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = documents.token_table(documents.sentence_table(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    g = t.groupBy("doc_id", "paragraph", "sentence").agg(F.count("*").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("token", "text"))).alias("x"))
-    return g.select("doc_id", "paragraph", "sentence", "n_tokens", F.concat_ws(" ", F.transform("x", lambda x: x["text"])).alias("tokens"))
+    t = documents.token_lists(documents.sentence_table(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return t.select("doc_id", "paragraph", "sentence", F.size("tokens").cast("long").alias("n_tokens"), F.concat_ws(" ", "tokens").alias("tokens"))
 
 
 @query(f"""WITH {SENTENCES}, k AS (SELECT doc_id, paragraph, sentence, CAST(len(list_filter(ts, lambda t: length(t) >= 9)) AS BIGINT) AS n FROM w)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from readgrain.functions import text as T
 from readgrain.operators import corpus, documents, evaluate, merge, pairs
+from readgrain.plans import catalogue
 
 
 def test_words_of_other_scripts(spark):
@@ -98,6 +99,19 @@ def test_token_tables(spark):
     assert ids == [1, 0, 0]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sentence_tokens_stay_where_they_are(spark, tmp_path):
+    """A sentence's tokens come from its own row: nothing is shuffled, and documents of the same id aren't mixed."""
+    d = spark.createDataFrame([(1, "One two. Three!\n \t \nFour five, six."), (1, "One two."), (2, "\t\n"), (3, None)], "doc_id long, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    q = catalogue.QUERIES["sentence_tokens"](spark, str(tmp_path))
+    assert "Exchange" not in plan_of(q)
+    assert sorted(tuple(x) for x in q.collect()) == [(1, 0, 0, 3, "One two ."), (1, 0, 0, 3, "One two ."), (1, 0, 1, 2, "Three !"), (1, 2, 0, 5, "Four five , six .")]
+
+
 def test_sense_similarity(spark):
     senses = spark.createDataFrame([("run", "V", "s1"), ("run", "V", "s2"), ("go", "V", "s2"), ("go", "V", "s3")], "word string, upos string, synset string")
     sims = spark.createDataFrame([("s1", "s2", 0.5, 1.0), ("s2", "s2", 1.0, 2.0), ("s2", "s3", 0.0, None)], "synset_a string, synset_b string, path double, lch double")
