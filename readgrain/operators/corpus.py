@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readgrain.storage import materialise
+
+#: Terms at most, and characters of each, that every executor has at hand.
+FREQUENT, LONGEST = 100_000, 64
+
 
 def term_counts(terms: DataFrame, term: str = "term") -> DataFrame:
     """Counts of lower-cased terms; null is no term."""
@@ -42,3 +47,26 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
 def information_content(n: Column, total_terms: Column, unique_terms: Column) -> Column:
     """-ln of a term's share with one added to each count; a term that isn't in the store has n null or 0."""
     return -F.ln((F.coalesce(n, F.lit(0)) + 1) / (total_terms + unique_terms))
+
+
+def mean_information_content(terms: DataFrame, key: str, term: str = "term", frequent: int = FREQUENT) -> DataFrame:
+    """Per key n_terms and mean_ic, the mean information content of its terms, whose counts are over all rows; null is no term.
+
+    Frequent terms, which most rows have, are looked up in a broadcast table of so many at most. The others are joined by shuffling their rows.
+    terms is read three times, which takes less than writing it.
+    """
+    t = terms.filter(F.col(term).isNotNull()).select(key, F.col(term).alias("term"))
+    c = materialise(t.groupBy("term").agg(F.count("*").alias("n")), "term-counts")
+    short = F.length("term") <= LONGEST
+    by_power = c.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.count_if(short).alias("short")).collect()  # 63 rows at most
+    total, kinds = sum(r["n"] for r in by_power), sum(r["kinds"] for r in by_power)
+    least = 0
+    while sum(r["short"] for r in by_power if r["p"] >= least) > frequent:
+        least += 1
+    usual = short & (F.col("n") >= 2**least)
+    ic = c.withColumn("ic", information_content(F.col("n"), F.lit(total).cast("long"), F.lit(kinds).cast("long")))
+    most = F.broadcast(ic.filter(usual).select("term", "ic"))
+    rows = t.join(most, "term").select(key, "ic")
+    if sum(r["short"] for r in by_power if r["p"] >= least) < kinds:
+        rows = rows.unionByName(t.join(most, "term", "left_anti").join(ic.filter(~usual).select("term", "ic"), "term").select(key, "ic"))
+    return rows.groupBy(key).agg(F.count("*").alias("n_terms"), (F.sum("ic") / F.count("*")).alias("mean_ic"))

@@ -196,10 +196,7 @@ SELECT doc_id, count(*) AS n_terms, round(avg(ic), 6) AS mean_ic FROM t JOIN i U
 def term_frequency_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Information content of terms, add-one smoothed, and its mean per document; counts are over all documents."""
     t = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.transform(T.words(F.col("text")), F.lower)).alias("term"))
-    per = t.groupBy("doc_id", "term").agg(F.count("*").alias("k"))
-    c = per.groupBy("term").agg(F.sum("k").alias("n"))
-    ic = stats.with_stats(c, c.agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))).select("term", (-F.ln((F.col("n") + 1) / (F.col("total") + F.col("kinds")).cast("double"))).alias("ic"))
-    return per.join(ic, "term").groupBy("doc_id").agg(F.sum("k").alias("n_terms"), r6(F.sum(F.col("k") * F.col("ic")) / F.sum("k")).alias("mean_ic"))
+    return corpus.mean_information_content(t, "doc_id").withColumn("mean_ic", r6("mean_ic"))
 
 
 @query(f"""WITH easy AS (SELECT DISTINCT lower(unnest({WORDS_SQL})) AS w FROM benchmark), t AS (SELECT doc_id, lower(unnest({WORDS_SQL})) AS w FROM documents)

@@ -112,6 +112,22 @@ def test_sentence_tokens_stay_where_they_are(spark, tmp_path):
     assert sorted(tuple(x) for x in q.collect()) == [(1, 0, 0, 3, "One two ."), (1, 0, 0, 3, "One two ."), (1, 0, 1, 2, "Three !"), (1, 2, 0, 5, "Four five , six .")]
 
 
+def test_frequent_terms_are_not_shuffled(spark):
+    """Means of information content, whichever terms are at hand: all, some, none; rows of terms at hand aren't shuffled."""
+    rows = [(d, w) for d, t in enumerate(("a a a b", "a b c", "d", "a e " + "x" * 80, "a b " + "x" * 80)) for w in t.split()]
+    df = spark.createDataFrame([*rows, (9, None)], "doc int, term string")
+    n = {w: sum(x == w for _, x in rows) for _, w in rows}
+    ic = {w: -math.log((k + 1) / (len(rows) + len(n))) for w, k in n.items()}
+    for frequent in (100, 2, 0):
+        got = corpus.mean_information_content(df, "doc", frequent=frequent)
+        assert "LeftAnti" in plan_of(got)  # the longest term is never at hand
+        got = {x.doc: (x.n_terms, x.mean_ic) for x in got.collect()}
+        assert got == {d: (len(ws), pytest.approx(sum(ic[w] for w in ws) / len(ws))) for d in range(5) for ws in [[w for e, w in rows if e == d]]}
+    q = corpus.mean_information_content(df.filter(F.length("term") < 9), "doc")
+    assert "term" not in "".join(x for x in plan_of(q).splitlines() if "Exchange hashpartitioning" in x) and "SortMergeJoin" not in plan_of(q)
+    assert corpus.mean_information_content(df.filter("doc > 8"), "doc").collect() == []
+
+
 def test_sense_similarity(spark):
     senses = spark.createDataFrame([("run", "V", "s1"), ("run", "V", "s2"), ("go", "V", "s2"), ("go", "V", "s3")], "word string, upos string, synset string")
     sims = spark.createDataFrame([("s1", "s2", 0.5, 1.0), ("s2", "s2", 1.0, 2.0), ("s2", "s3", 0.0, None)], "synset_a string, synset_b string, path double, lch double")
