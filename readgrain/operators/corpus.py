@@ -9,6 +9,8 @@ from readgrain.storage import materialise
 
 #: Terms at most, and characters of each, that every executor has at hand.
 FREQUENT, LONGEST = 100_000, 64
+#: Characters of a word list that every executor has at hand.
+AT_HAND = 16_000_000
 
 
 def term_counts(terms: DataFrame, term: str = "term") -> DataFrame:
@@ -70,3 +72,15 @@ def mean_information_content(terms: DataFrame, key: str, term: str = "term", fre
     if sum(r["short"] for r in by_power if r["p"] >= least) < kinds:
         rows = rows.unionByName(t.join(most, "term", "left_anti").join(ic.filter(~usual).select("term", "ic"), "term").select(key, "ic"))
     return rows.groupBy(key).agg(F.count("*").alias("n_terms"), (F.sum("ic") / F.count("*")).alias("mean_ic"))
+
+
+def difficult_words(words: DataFrame, easy: DataFrame, key: str, word: str, at_hand: int = AT_HAND) -> DataFrame:
+    """Per key n_words and n_difficult: words that, as they are and without a final s, are not in the list `easy`.
+
+    The list has both forms, so one join says it; the list is broadcast if it has so many characters at most, and no word is shuffled then.
+    """
+    known = easy.filter(F.col(word).isNotNull()).select(F.explode(F.array(F.col(word), F.concat(word, F.lit("s")))).alias(word)).distinct()
+    known = materialise(known, "easy-words").withColumn("_known", F.lit(True))
+    if (known.agg(F.sum(F.length(word))).first()[0] or 0) <= at_hand:
+        known = F.broadcast(known)
+    return words.join(known, word, "left").groupBy(key).agg(F.count("*").alias("n_words"), F.count_if(F.col("_known").isNull()).alias("n_difficult"))

@@ -203,12 +203,9 @@ def term_frequency_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, count(*) AS n_words, CAST(count(*) FILTER (w NOT IN (SELECT w FROM easy) AND regexp_replace(w, 's$', '') NOT IN (SELECT w FROM easy)) AS BIGINT) AS n_difficult FROM t GROUP BY doc_id""")
 def difficult_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that, as they are and without a final s, are not in the word list (the benchmark's words)."""
-    easy = table(spark, sf_dir, "benchmark").select(F.explode(F.transform(T.words(F.col("text")), F.lower)).alias("w")).distinct()
-    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.transform(T.words(F.col("text")), F.lower)).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("k"))
-    t = t.withColumn("base", F.regexp_replace("w", "s$", ""))
-    kinds = t.select("w", "base").distinct()
-    hard = kinds.join(easy, "w", "left_anti").join(easy.withColumnRenamed("w", "base"), "base", "left_anti").select("w", F.lit(1).alias("hard"))
-    return t.join(hard, "w", "left").groupBy("doc_id").agg(F.sum("k").alias("n_words"), F.sum(F.when(F.col("hard") == 1, F.col("k")).otherwise(0)).alias("n_difficult"))
+    easy = table(spark, sf_dir, "benchmark").select(F.explode(F.transform(T.words(F.col("text")), F.lower)).alias("w"))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.transform(T.words(F.col("text")), F.lower)).alias("w"))
+    return corpus.difficult_words(t, easy, "doc_id", "w")
 
 
 @query(r"""WITH b AS (SELECT page_id, '<variant><complexity_level>' || CAST(page_id % 7 AS VARCHAR) || '</complexity_level><generated_answer> ' || url || CASE WHEN page_id % 3 = 0 THEN '' ELSE ' </generated_answer>' END AS raw FROM pages),

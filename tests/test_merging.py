@@ -128,6 +128,17 @@ def test_frequent_terms_are_not_shuffled(spark):
     assert corpus.mean_information_content(df.filter("doc > 8"), "doc").collect() == []
 
 
+def test_difficult_words_are_not_shuffled(spark):
+    words = spark.createDataFrame([(d, w) for d, t in enumerate(("cat cats glass glas catss s", "dog dogs dog", "news new")) for w in t.split()], "doc int, w string")
+    easy = spark.createDataFrame([("cat",), ("glass",), ("dogs",), ("new",), ("cat",), (None,)], "w string")
+    want = [(0, 6, 3), (1, 3, 2), (2, 2, 0)]
+    q = corpus.difficult_words(words, easy, "doc", "w")
+    assert "BroadcastHashJoin" in plan_of(q) and "SortMergeJoin" not in plan_of(q)
+    assert sorted(tuple(x) for x in q.collect()) == want
+    assert sorted(tuple(x) for x in corpus.difficult_words(words, easy, "doc", "w", at_hand=0).collect()) == want
+    assert sorted(tuple(x) for x in corpus.difficult_words(words, easy.limit(0), "doc", "w").collect()) == [(0, 6, 6), (1, 3, 3), (2, 2, 2)]
+
+
 def test_sense_similarity(spark):
     senses = spark.createDataFrame([("run", "V", "s1"), ("run", "V", "s2"), ("go", "V", "s2"), ("go", "V", "s3")], "word string, upos string, synset string")
     sims = spark.createDataFrame([("s1", "s2", 0.5, 1.0), ("s2", "s2", 1.0, 2.0), ("s2", "s3", 0.0, None)], "synset_a string, synset_b string, path double, lch double")
